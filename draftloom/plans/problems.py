@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftloom.operators import asof, impute
-from draftloom.session import read
+from draftloom.operators import asof, drift, impute
+from draftloom.session import read, stage
 
 SKILL = ("RB", "WR", "TE")
 
@@ -109,5 +109,25 @@ P5_KNOWN_SQL = (
 FROM known WHERE rn = 1"""
 )
 
-QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p5_found": p5_found, "p5_known": p5_known}
+def _drift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[str, str]]]:
+    schema = read(spark, sf_dir, "player_weeks").dtypes
+    files = drift.ordered_files(read(spark, sf_dir, "stats_files"))
+    parsed = stage(drift.parse_lines(files, read(spark, sf_dir, "stats_file_lines")), "drift-lines")
+    profiled = stage(drift.profile(parsed), "drift-profile")
+    matches = drift.correspondences(files, profiled, [n for n, _ in schema])
+    return files, parsed, stage(drift.assigned(files, profiled, matches), "drift-columns"), schema
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _, columns, _ = _drift(spark, sf_dir)
+    return drift.changes(files, columns).select("file_id", "field", "change").distinct()
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All data lines of all files as one table with the columns of player_weeks."""
+    _, parsed, columns, schema = _drift(spark, sf_dir)
+    return drift.unify(parsed, columns, schema).withColumn("extra", F.to_json("extra"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_unified": p2_unified, "p1_found": p1_found, "p1_filled": p1_filled, "p5_found": p5_found, "p5_known": p5_known}
 ORACLE = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_known": P5_KNOWN_SQL}
