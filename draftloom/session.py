@@ -68,3 +68,12 @@ def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> i
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for work that costs much per row, where its few files would keep most cores idle.
+
+    An input of at least as many partitions as there are cores stays as it is, so only small inputs are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
