@@ -34,7 +34,7 @@ SINGLE = (
     ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "cp1253"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1250", "iso8859_2"), ("iso8859_2", "cp1250"), ("cp1253", "cp1251"), ("cp1250", "cp1251"),
 )
 SIGNS = set("‘’‚“”„–—…•·°±½¼¾×÷§¶©®™€£¥¢«»¿¡→←↑↓↔≤≥≠≈∞√´¨ªº²³¹µ№‹›†‡‰ˆ˜¬¯¸¦\u00a0\u00ad")
-FLAG, SWITCH = 3.0, 2.0
+FLAG, SWITCH = 2.5, 2.0
 LOST = "\ufffd"
 
 
@@ -88,7 +88,7 @@ def readings(token: str) -> list[tuple[str, str, float]]:
                 break
             if decoded == text:
                 break
-            gain += sum(4.0 if len(ch.encode()) == 2 else 7.0 for ch in decoded if not ch.isascii())
+            gain += sum(6.5 if len(ch.encode()) == 2 else 9.0 for ch in decoded if not ch.isascii())
             text, depth = decoded, depth + 1
             if _likely(text) and (text not in out or out[text][1] < gain):
                 out[text] = (f"utf_8>{read_as}" + f"*{depth}" * (depth > 1), gain)
@@ -156,7 +156,7 @@ def damage_table(words: DataFrame) -> DataFrame:
     known = F.coalesce("c", F.lit(0))
     ratio = F.log((known + 0.5) / (F.coalesce("c_own", "n") + 0.5))
     plain = F.length(F.regexp_replace("word", r"[^\x00-\x7f]", "")) == F.length("word")
-    utf = F.col("gain") + F.when(plain, F.lit(0.0)).when(known > 0, F.least(ratio, F.lit(6.0))).otherwise(-3.0)
+    utf = F.col("gain") + F.when(plain, F.lit(0.0)).when(known > 0, F.least(ratio, F.lit(6.0))).otherwise(-1.5)
     letters = F.length("word")
     single = F.when((known >= 2) & (letters >= 3), ratio - 1.0).when((known >= 2) & (letters == 2), F.least(ratio - 1.0, F.lit(1.0))).when((known >= 2), F.least(ratio - 1.0, F.lit(0.5))).otherwise(-9.0)
     undone = weighed.select("token", "channel", "word", F.when(F.col("gain") > 0, utf).otherwise(single).alias("gain")).where("gain > 0.3")
@@ -164,7 +164,7 @@ def damage_table(words: DataFrame) -> DataFrame:
     index = words.mapInPandas(_damaged, "token string, channel string, word string, n_word long")
     lossy = broken.join(index, "token").select("token", "channel", "word", (12.0 + F.log(F.col("n_word").cast("double"))).alias("gain"))
     # damage without a known reading is damage all the same
-    bare = broken.select("token", F.lit("lost").alias("channel"), F.lit(None).cast("string").alias("word"), F.lit(8.0).alias("gain"))
+    bare = broken.select("token", F.lit("lost").alias("channel"), F.lit(None).cast("string").alias("word"), F.lit(5.5).alias("gain"))
     return undone.unionByName(lossy).unionByName(bare)
 
 

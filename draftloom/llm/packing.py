@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftloom.session import stage
+from draftloom.session import spread, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the splitting pattern published with this byte-level vocabulary
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_encoders: dict = {}
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,7 +41,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc
             n = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["doc_id", "n"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n int")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id {kind}, n int")
 
 
 def plan(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
