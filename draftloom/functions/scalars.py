@@ -111,27 +111,40 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, c: mul32(h.bitwiseXOR(F.ascii(c).cast("long")), 16777619))
 
 
+def fnv1a_of(text: str) -> int:
+    """32-bit FNV-1a of a string known when the plan is made."""
+    h = 2166136261
+    for byte in text.encode():
+        h = ((h ^ byte) * 16777619) & MASK
+    return h
+
+
+def let(x: Column, f) -> Column:  # noqa: ANN001
+    """``f`` of ``x`` with ``x`` evaluated once: a chain of steps that each use their input twice stays linear in size."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _xorshift(h: Column, n: int) -> Column:
     return h.bitwiseXOR(F.shiftright(h, n))
 
 
 def keyed_base(seed: int, scenario: Column, parts: list[Column]) -> Column:
     """A 32-bit state addressed by what a draw means (seed, scenario, hashed parts), not by when it is made."""
-    h = mul32((scenario + 1).cast("long"), 0x9E3779B1).bitwiseXOR(F.lit(seed & MASK).cast("long"))
+    h = let((scenario + 1).cast("long"), lambda x: mul32(x, 0x9E3779B1).bitwiseXOR(F.lit(seed & MASK).cast("long")))
     for part in parts:
         h = mix(h, part)
     return h
 
 
 def mix(h: Column, part_hash: Column) -> Column:
-    return mul32(_xorshift(h.bitwiseXOR(part_hash), 16), 0x85EBCA6B)
+    return let(h.bitwiseXOR(part_hash), lambda x: let(_xorshift(x, 16), lambda y: mul32(y, 0x85EBCA6B)))
 
 
 def finish(h: Column) -> Column:
     """A uniform number in (0, 1) of a keyed state."""
-    h = mul32(_xorshift(h, 16), 0x7FEB352D)
-    h = mul32(_xorshift(h, 15), 0x846CA68B)
-    return (_xorshift(h, 16) + 0.5) / 4294967296.0
+    a = let(h, lambda x: let(_xorshift(x, 16), lambda y: mul32(y, 0x7FEB352D)))
+    b = let(a, lambda x: let(_xorshift(x, 15), lambda y: mul32(y, 0x846CA68B)))
+    return (let(b, lambda x: _xorshift(x, 16)) + 0.5) / 4294967296.0
 
 
 def box_muller(u1: Column, u2: Column) -> Column:
