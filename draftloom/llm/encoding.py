@@ -190,25 +190,32 @@ def viterbi(steps: list[list[tuple[str, str | None, float]]], switch: float = SW
     return score, out[::-1]
 
 
-def _decode(group: pd.DataFrame) -> pd.DataFrame:
-    columns = ["doc_id", "at", "channel", "word", "score"]
-    places, steps = [], []
-    for at, part in group.sort_values(["at", "gain"], ascending=[True, False]).groupby("at", sort=True):
-        places.append(at)
-        steps.append(list(zip(part["channel"], [w if isinstance(w, str) else None for w in part["word"]], part["gain"])))
-    score, path = viterbi(steps)
-    rows = [(group["doc_id"].iloc[0], at, step[0], step[1], score) for at, step in zip(places, path) if step is not None]
-    return pd.DataFrame(rows if score > FLAG else [], columns=columns)
+def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for doc_id, hits in zip(batch["doc_id"], batch["hits"]):
+            by_place: dict[int, list] = {}
+            for h in sorted(hits, key=lambda h: (h["at"], -h["gain"], h["channel"])):
+                by_place.setdefault(h["at"], []).append((h["channel"], h["word"], h["gain"]))
+            score, path = viterbi(list(by_place.values()))
+            if score > FLAG:
+                rows += [(doc_id, at, step[0], step[1], score) for at, step in zip(by_place, path) if step is not None]
+        yield pd.DataFrame(rows, columns=["doc_id", "at", "channel", "word", "score"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, channel, word, score): the damaged words of all documents with their best reading (null: lost)."""
+    """(doc_id, at, channel, word, score): the damaged words of all documents with their best reading (null: lost).
+
+    Null and empty texts and texts without characters beyond ASCII have none; repeated doc_ids count as one document.
+    """
     found = tokens(docs)
     words = stage(found.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "damage-tokens")
     damage = stage(damage_table(words), "damage-readings")
-    hits = found.join(damage, "token")
+    per_doc = found.join(damage, "token").groupBy("doc_id").agg(F.collect_list(F.struct("at", "channel", "word", "gain")).alias("hits"))
+    # no path can score more than all readings that speak for damage together
+    most = F.aggregate("hits", F.lit(0.0), lambda a, h: a + F.greatest(h["gain"], F.lit(0.0)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return hits.groupBy("doc_id").applyInPandas(_decode, f"doc_id {kind}, at int, channel string, word string, score double")
+    return per_doc.where(most > FLAG + SWITCH).mapInPandas(_decode, f"doc_id {kind}, at int, channel string, word string, score double")
 
 
 def restore(docs: DataFrame, damaged: DataFrame) -> DataFrame:
