@@ -89,6 +89,8 @@ def readings(token: str) -> list[tuple[str, str, float]]:
             if decoded == text:
                 break
             gain += sum(6.5 if len(ch.encode()) == 2 else 9.0 for ch in decoded if not ch.isascii())
+            # other scripts than the three the encodings here can lose need the corpus to speak for them
+            gain -= 7.0 * sum(ch.isalpha() and ord(ch) > 0x52F and not 0x1E00 <= ord(ch) <= 0x1FFF for ch in decoded)
             text, depth = decoded, depth + 1
             if _likely(text) and (text not in out or out[text][1] < gain):
                 out[text] = (f"utf_8>{read_as}" + f"*{depth}" * (depth > 1), gain)
@@ -103,7 +105,9 @@ def readings(token: str) -> list[tuple[str, str, float]]:
         except UnicodeDecodeError:
             continue
         if decoded != token and decoded not in out and _likely(decoded) and all(ch.isalpha() for ch in decoded):
-            out[decoded] = (f"{written}>{read_as}", 0.0)
+            # signs and digits inside a word that its reading has no need of
+            odd = sum(not ch.isalpha() for ch in token if not ch.isascii())
+            out[decoded] = (f"{written}>{read_as}", min(3.0, 1.5 * odd))
     return [(channel, word, gain) for word, (channel, gain) in out.items()]
 
 
@@ -158,8 +162,8 @@ def damage_table(words: DataFrame) -> DataFrame:
     plain = F.length(F.regexp_replace("word", r"[^\x00-\x7f]", "")) == F.length("word")
     utf = F.col("gain") + F.when(plain, F.lit(0.0)).when(known > 0, F.least(ratio, F.lit(6.0))).otherwise(-1.5)
     letters = F.length("word")
-    single = F.when((known >= 2) & (letters >= 3), ratio - 1.0).when((known >= 2) & (letters == 2), F.least(ratio - 1.0, F.lit(1.0))).when((known >= 2), F.least(ratio - 1.0, F.lit(0.5))).otherwise(-9.0)
-    undone = weighed.select("token", "channel", "word", F.when(F.col("gain") > 0, utf).otherwise(single).alias("gain")).where("gain > 0.3")
+    single = F.when((known >= 2) & (letters >= 3), ratio + F.col("gain") - 1.0).when((known >= 2) & (letters == 2), F.least(ratio - 1.0, F.lit(1.0))).when((known >= 2), F.least(ratio - 1.0, F.lit(0.5))).otherwise(-9.0)
+    undone = weighed.select("token", "channel", "word", F.when(F.col("channel").startswith("utf_8>"), utf).otherwise(single).alias("gain")).where("gain > 0.3")
     broken = words.where(F.col("token").contains(LOST) | F.col("token").rlike(r"[\x{80}-\x{9f}]"))
     index = words.mapInPandas(_damaged, "token string, channel string, word string, n_word long")
     lossy = broken.join(index, "token").select("token", "channel", "word", (12.0 + F.log(F.col("n_word").cast("double"))).alias("gain"))
