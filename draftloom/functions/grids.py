@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from draftloom.functions.scalars import let
+
 
 def running_max(values: Column) -> Column:
     """Monotone repair that never lowers a value."""
@@ -17,8 +19,12 @@ def isotonic(values: Column) -> Column:
     n = F.size(values)
     at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     sums = F.aggregate(values, F.array(F.lit(0.0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
-    mean = lambda j, k: (F.element_at(sums, k + 1) - F.element_at(sums, j)) / (k - j + 1)
-    return F.transform(at, lambda i: F.array_max(F.transform(F.sequence(F.lit(1), i), lambda j: F.array_min(F.transform(F.sequence(i, n), lambda k: mean(j, k))))))
+
+    def repaired(total: Column) -> Column:
+        mean = lambda j, k: (F.element_at(total, k + 1) - F.element_at(total, j)) / (k - j + 1)
+        return F.transform(at, lambda i: F.array_max(F.transform(F.sequence(F.lit(1), i), lambda j: F.array_min(F.transform(F.sequence(i, n), lambda k: mean(j, k))))))
+
+    return let(sums, repaired)
 
 
 def trapezoid_mean(ps: list[float], values: Column) -> Column:
