@@ -148,12 +148,12 @@ FEATURES = ["games_lag1", "games_lag2", "fantasy_points_ppr_lag1", "fantasy_poin
 
 def ridge_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "player_examples").select("example_id", "season", "target_ppr_total", *FEATURES)
-    return M.walk_forward(x, "season", "target_ppr_total", FEATURES, [2022, 2023, 2024]).select("example_id", "season", R("prediction", 4).alias("prediction"))
+    return M.walk_forward(x, "season", "target_ppr_total", FEATURES).select("example_id", "season", R("prediction", 4).alias("prediction"))
 
 
 def gbt_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "player_examples").select("example_id", "season", "target_ppr_total", *FEATURES)
-    return M.walk_forward(x, "season", "target_ppr_total", FEATURES, [2024], kind="gbt").select("example_id", "season", R("prediction", 4).alias("prediction"))
+    return M.walk_forward(x, "season", "target_ppr_total", FEATURES, kind="gbt").select("example_id", "season", R("prediction", 4).alias("prediction"))
 
 
 def finish_draft(spark: SparkSession, d: str) -> DataFrame:
