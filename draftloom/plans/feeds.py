@@ -55,6 +55,11 @@ def csv_record_in_column(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("file_id", "line_no", readers.parse_csv_text(c("line"), "a string, b string").alias("x")).select("file_id", "line_no", "x.a", "x.b")
 
 
+def csv_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every data line of the comma-delimited files with all its cells; csv_record_in_column has two cells of some lines."""
+    return readers.csv_records(read(spark, d, "stats_file_lines"))
+
+
 def html_rows(spark: SparkSession, d: str) -> DataFrame:
     """Part prices rendered as HTML tables, one per brand, and scraped again."""
     cell = F.concat(F.lit("<tr><td>"), c("p_partkey").cast("string"), F.lit("</td><td><b>"), c("p_brand"), F.lit("</b></td></tr>"))
@@ -171,7 +176,7 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("player_id", "season").applyInPandas(run, "player_id string, season int, p10 double, p50 double, p90 double")
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, json_lines_round_trip, json_tree_keys, snapshot_once, csv_record_in_column, html_rows, text_regex_rows, participation_explode, modal_value, json_props, control_characters, retention_prune, capture_throttle, latest_state_upsert, contiguity_gate, pick_log_state, stable_picks_stream, stable_picks_batch, ridge_walk_forward, gbt_walk_forward, finish_draft, block_bootstrap)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, json_lines_round_trip, json_tree_keys, snapshot_once, csv_record_in_column, csv_records, html_rows, text_regex_rows, participation_explode, modal_value, json_props, control_characters, retention_prune, capture_throttle, latest_state_upsert, contiguity_gate, pick_log_state, stable_picks_stream, stable_picks_batch, ridge_walk_forward, gbt_walk_forward, finish_draft, block_bootstrap)}
 ORACLE = {
     "csv_round_trip": "SELECT stat_row_id, player_id, season, games, player_display_name FROM player_seasons",
     "json_lines_round_trip": "SELECT roster_row_id, player_id, name, team FROM players",

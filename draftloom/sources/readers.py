@@ -39,6 +39,30 @@ def parse_csv_text(text: Column, schema: str) -> Column:
     return F.from_csv(text, schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
 
 
+def csv_records(lines: DataFrame) -> DataFrame:
+    """(file_id, line_no, names, cells): every data line of the comma-delimited files of (file_id, line_no, line).
+
+    A file's first line that is neither blank nor a comment is its header; it is comma-delimited if no other delimiter
+    is commoner there. Blank and comment lines and repeated headers are no data. Cells stand under their names; a short
+    line ends in nulls, an empty cell is null, quoted or not, and cells beyond the header follow at the end.
+    """
+    c = F.col
+    text = lines.select("file_id", "line_no", F.regexp_replace("line", "^\ufeff", "").alias("line")).where((F.trim("line") != "") & ~c("line").startswith("#"))
+    count = lambda d: F.length("header") - F.length(F.replace("header", F.lit(d), F.lit("")))
+    header = text.groupBy("file_id").agg(F.min_by("line", "line_no").alias("header"))
+    header = header.where(~F.ltrim("header").startswith("{") & (count(",") >= F.greatest(F.lit(1), *[count(d) for d in ";|\t"])))
+    rows = text.join(header, "file_id").where(c("line") != c("header"))
+    commas = lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
+    # no line has more cells than commas and one, so none is cut
+    width = (rows.agg(F.max(F.greatest(commas("line"), commas("header")))).first()[0] or 0) + 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    cells = lambda x: (lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))(parse_csv_text(c(x), schema))
+    last = lambda a: F.coalesce(F.array_max(F.transform(a, lambda v, i: F.when(v.isNotNull(), i + 1))), F.lit(0))
+    both = rows.select("file_id", "line_no", cells("header").alias("n"), cells("line").alias("v"))
+    named = both.withColumn("names", F.slice("n", F.lit(1), last(c("n"))))
+    return named.select("file_id", "line_no", F.transform("names", F.trim).alias("names"), F.slice("v", F.lit(1), F.greatest(F.size("names"), last(c("v")))).alias("cells"))
+
+
 def html_cells(html: Column) -> Column:
     """The rows of an HTML table as arrays of cell texts."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
