@@ -23,7 +23,7 @@ from draftloom.session import stage
 
 DELIMITERS = ",;\t|"
 ACCEPT = 0.36
-FLOOD, ROUNDS, TOLERANCE = 0.5, 12, 1e-3
+FLOOD, ROUNDS, TOLERANCE = 0.5, 200, 1e-3
 SPELLING = 5.0
 
 # fixed values: words that name the same thing in schemas of this domain, and words that say little
@@ -247,6 +247,9 @@ def correspondences(files: DataFrame, profiled: DataFrame, fields: list[str]) ->
             settled = score
             if (change or 0.0) < TOLERANCE:
                 break
+    else:
+        # a name's links weigh less than one and FLOOD halves them, so scores must settle
+        raise RuntimeError(f"scores have not settled after {ROUNDS} rounds of flooding")
     exact = F.col("name") == F.col("field")
     ranked = score.withColumn("s", F.when(exact, F.lit(2.0)).otherwise(F.col("s"))).withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("s"), "field")))
     return ranked.where((F.col("r") == 1) & (F.col("s") >= ACCEPT)).select("name", "field", F.col("s").alias("score"))

@@ -61,3 +61,9 @@ def test_kinds(spark):
 def test_empty(spark):
     meta, parsed, columns = columns_of(spark, [])
     assert columns.count() == 0 and drift.changes(meta, columns).count() == 0
+
+
+def test_flooding_that_has_not_settled_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(drift, "ROUNDS", 4)
+    with pytest.raises(RuntimeError, match="not settled after 4 rounds"):
+        columns_of(spark, FILES)
