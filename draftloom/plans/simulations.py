@@ -206,7 +206,7 @@ def draft_capital_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hierarchical_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Zero rates by flag, status and tax at four levels, each shrunk to the level above it."""
+    """Zero rates by flag, status and tax at four levels, as plain averages of each level; hierarchical_shrink blends levels."""
     x = read(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.round(c("l_tax") * 100).cast("int").alias("tax"), (c("l_discount") < 0.02).cast("double").alias("z"))
     g = x.groupingSets([["l_returnflag", "l_linestatus", "tax"], ["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus", "tax").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.avg("z").alias("rate"))
     return g.select("l_returnflag", "l_linestatus", "tax", c("level").cast("int").alias("level"), "n", R("rate", 8).alias("rate"))
