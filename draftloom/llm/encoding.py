@@ -2,7 +2,7 @@
 
 A channel is a pair of encodings: text written in one, read as the other. A damaged word is a lattice of bytes, some of
 them lost; its readings are the words that some channel turns into it. Readings without lost bytes come from undoing the
-channel; readings with lost bytes from an index of the corpus' own words sent through each lossy channel. Every reading
+channel; lost bytes are not matched as wildcards, their readings come from an index of the corpus' own words sent through each lossy channel. Every reading
 is weighed by how often the word occurs in the corpus against how often the damaged form does, plus what the structure
 of the bytes says (a run of characters that is valid UTF-8 is rarely an accident). Viterbi search then chooses, per
 document, the likeliest reading of every word, with a price for changing channels, and that path restores the text.
