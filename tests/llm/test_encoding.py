@@ -46,6 +46,53 @@ def test_partial_damage(spark):
     assert set(got) == {100}
 
 
+def test_a_word_with_a_lost_and_a_misread_byte(spark):
+    broken = GERMAN.replace("Häufigkeit", "HÃ\ufffdufigkeit").replace("größte", "grÃ\ufffdÃ\ufffdte")
+    got = restored(spark, CLEAN + [(100, broken)])
+    assert got[100]["restored"] == GERMAN and got[100]["n_lost"] == 0
+    cyrillic = RUSSIAN.replace("старая", "ст\ufffdрая").replace("неделя", "не\ufffd\ufffdля")
+    assert restored(spark, CLEAN + [(100, cyrillic)])[100]["restored"] == RUSSIAN
+
+
+def test_question_marks_for_lost_letters(spark):
+    asked = "".join(ch if ch.isascii() else "?" for ch in GERMAN.replace("ß", "ss"))
+    rows = [(i, GERMAN.replace("ß", "ss")) for i in range(20)]
+    got = restored(spark, [*rows, (100, asked), (101, "page?id=3 and what?yes or?"), (102, "Ist das gut?Ja, das ist gut?")])
+    assert set(got) == {100} and got[100]["restored"] == GERMAN.replace("ß", "ss")
+
+
+def test_escaped_damage(spark):
+    garbled = GERMAN.replace("ß", "ss").encode().decode("cp1252")
+    references = "".join(ch if ch.isascii() else f"&#{ord(ch)};" for ch in garbled)
+    escapes = "".join(ch if ch.isascii() else f"\\u{ord(ch):04x}" for ch in garbled)
+    clean = "".join(ch if ch.isascii() else f"&#{ord(ch)};" for ch in GERMAN)
+    got = restored(spark, CLEAN + [(100, references), (101, escapes), (102, clean)])
+    assert set(got) == {100, 101} and got[100]["restored"] == GERMAN.replace("ß", "ss") == got[101]["restored"]
+
+
+def test_the_lattice_does_the_work(spark, monkeypatch):
+    """Without it a word with a gap is known to be damaged but stays unread."""
+    monkeypatch.setattr(e, "LOSSY", [])
+    got = restored(spark, CLEAN + [(100, GERMAN.encode("cp1252").decode("utf-8", "replace"))])
+    assert got[100]["n_lost"] == got[100]["n_words"] and got[100]["restored"] != GERMAN
+
+
+def test_a_lone_lost_sign_is_weak_evidence(spark):
+    assert restored(spark, CLEAN + [(100, "Ein einzelnes \ufffd Zeichen steht hier")]) == {}
+
+
+def test_through():
+    lattice = e.slots("HÃ\ufffdufigkeit", "cp1252")
+    assert e.through(lattice, "Häufigkeit".encode(), 1) == pytest.approx(e.LOST_BYTE)
+    assert e.through(lattice, "Höufigkei".encode(), 1) is None and e.through(lattice, "Häufigkeit".encode("cp1252"), 1) is None
+    assert e.through([e.WILD], "é".encode(), 1) is None and e.through([e.WILD], "é".encode(), 2) == pytest.approx(2 * e.LOST_BYTE)
+
+
+def test_words_are_found_under_the_keys_of_their_damage():
+    for token, word in [("f\ufffdr", "für"), ("ст\ufffdрая", "старая"), ("H\ufffd\ufffdhe", "Höhe"), ("РїСЂРё\ufffd\ufffdет", "привет")]:
+        assert set(e.gap_keys(token)) & set(e.word_keys(word)), (token, word)
+
+
 def test_empty(spark):
     assert restored(spark, []) == {}
 
