@@ -45,7 +45,7 @@ FLAG, SWITCH = 2.5, 2.0
 LOST, WILD = "\ufffd", -1
 # log odds of a lost character that no corpus word explains: beside letters, and alone
 UNREAD, ALONE = 5.5, 0.5
-LOST_BYTE, READABLE = 0.7, 6.0
+LOST_BYTE, READABLE, SURE_SIGN = 0.7, 6.0, 0.8
 _REFERENCE = re.compile(r"&#[xX]([0-9a-fA-F]+);|&#(\d+);|\\u([0-9a-fA-F]{4})")
 
 
@@ -214,9 +214,12 @@ def _bare(token: str) -> str:
 
 def gap_keys(token: str) -> list[str]:
     """Where to look for the words a token with gaps may be: its ASCII letters around the gaps, or, where there are too
-    few, the letters known at both ends, as they stand or after the known bytes were read as UTF-8."""
+    few, the letters known at both ends, as they stand or after the known bytes were read as UTF-8. Where nothing is left
+    it may be any sign that stands alone elsewhere (as many as there are signs)."""
     if sum(ch.isascii() and ch.isalpha() for ch in token) >= 2:
         return ["a" + re.sub(r"\*+", "*", _bare(token))]
+    if set(token) == {LOST}:
+        return ["s"]
     out = set()
     for read_as in ("utf_8", *READ_AS):
         lattice = slots(token, read_as)
@@ -241,6 +244,8 @@ def word_keys(word: str) -> list[str]:
     if sum(ch.isascii() and ch.isalpha() for ch in word) >= 2:
         return ["a" + re.sub(r"\*+", "*", _bare(word))]
     w = word.lower()
+    if len(w) == 1 and not w.isalpha():
+        return ["s"]
     return sorted({f"e{w[:a]}|{w[len(w) - b :]}" for a in range(4) for b in range(4) if 3 <= a + b and max(a, b) <= len(w)})
 
 
@@ -318,7 +323,10 @@ def damage_table(words: DataFrame) -> DataFrame:
     doubt = F.when(~F.col("token").contains("?"), F.lit(0.0)).when(F.col("n_word") < 2, F.lit(9.0)).when(F.col("token").startswith("?"), F.lit(4.5)).otherwise(F.lit(2.0))
     rated = fits.withColumn("gain", READABLE + F.least(F.log(F.col("n_word").cast("double")), F.lit(12.0)) - F.col("price") - doubt).where("gain > 0.3")
     rated = rated.withColumn("gain", F.when(F.col("token").startswith("?"), F.least("gain", F.lit(2.0))).when(F.col("token").contains("?"), F.least("gain", F.lit(4.0))).otherwise(F.col("gain")))
-    lossy = rated.groupBy("token", "channel").agg(F.max_by("word", F.struct("gain", "word")).alias("word"), F.max("gain").alias("gain"))
+    lossy = rated.groupBy("token", "channel").agg(F.max_by("word", F.struct("gain", "word")).alias("word"), F.max("gain").alias("gain"), (F.max("n_word") / F.sum("n_word")).alias("share"))
+    # where nothing but a sign's place is left, it is read only if one sign is by far the likeliest
+    bare = ~F.col("token").rlike(r"[^\x{fffd}]") & (F.col("share") < SURE_SIGN)
+    lossy = lossy.select("token", "channel", F.when(~bare, F.col("word")).alias("word"), "gain")
     # no encoding writes a lost character: damage that no word explains has its price, less where it stands alone
     alone = ~F.col("clean").rlike(r"\p{L}")
     unread = broken.where(gone).select("token", F.lit("lost").alias("channel"), F.lit(None).cast("string").alias("word"), F.when(alone, F.lit(ALONE)).otherwise(F.lit(UNREAD)).alias("gain"))

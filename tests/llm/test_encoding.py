@@ -77,8 +77,14 @@ def test_the_lattice_does_the_work(spark, monkeypatch):
     assert got[100]["n_lost"] == got[100]["n_words"] and got[100]["restored"] != GERMAN
 
 
-def test_a_lone_lost_sign_is_weak_evidence(spark):
-    assert restored(spark, CLEAN + [(100, "Ein einzelnes \ufffd Zeichen steht hier")]) == {}
+def test_a_lone_lost_sign_counts_where_the_corpus_has_signs_that_stand_alone(spark):
+    lone = [(100, "Ein einzelnes \ufffd Zeichen steht hier")]
+    letters = [(i, GERMAN) for i in range(5)]
+    assert restored(spark, letters + lone) == {}
+    got = restored(spark, letters + [(50 + i, "this \u2014 that") for i in range(9)] + lone)
+    assert got[100]["restored"] == "Ein einzelnes \u2014 Zeichen steht hier"
+    got = restored(spark, letters + [(50, "this \u2014 that"), (51, "this \u00bd that")] + lone)
+    assert got[100]["n_lost"] == 1
 
 
 def test_through():
