@@ -11,8 +11,8 @@ from draftloom.session import read, stage
 SKILL = ("RB", "WR", "TE")
 
 
-def filled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """player_examples with games_lag2, target_share and year_end_role_missing filled and marked."""
+def filled_examples(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    """player_examples (or its columns ``keep``) with games_lag2, target_share and year_end_role_missing filled and marked."""
     x = read(spark, sf_dir, "player_examples")
     c = F.col
     # what the same player's record of the season before said; repeated records count once
@@ -36,8 +36,9 @@ def filled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
             impute.Category("position", c("position"), ("K", "QB", "RB", "TE", "WR")),
         ],
         [c("position"), c("season")],
+        keep=keep or x.columns,
     )
-    return filled.drop(*[n for n in before.columns if n.startswith("before_")])
+    return filled
 
 
 def p1_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +46,11 @@ def p1_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells the imputation filled, one row each."""
-    fields = ("games_lag2", "target_share", "year_end_role_missing")
-    cells = F.array(*[F.when(F.col(f"{f}_filled"), F.lit(f)) for f in fields])
-    return filled_examples(spark, sf_dir).select("example_id", F.explode(F.array_compact(cells)).alias("field")).distinct()
+    """The cells that the imputation filled with a valid value, one row each."""
+    c = F.col
+    valid = {"games_lag2": c("games_lag2").between(0, 17) & (c("games_lag2") == F.floor("games_lag2")), "target_share": c("target_share").between(0, 1), "year_end_role_missing": c("year_end_role_missing").isin(0.0, 1.0)}
+    cells = F.array(*[F.when(c(f"{f}_filled") & ok, F.lit(f)) for f, ok in valid.items()])
+    return filled_examples(spark, sf_dir, ["example_id"]).select("example_id", F.explode(F.array_compact(cells)).alias("field")).distinct()
 
 
 P1_SQL = """

@@ -1,7 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from draftloom.operators import impute
+from draftloom.plans import problems
+from draftloom.session import read, stage
 
 c = F.col
 SCHEMA = "id long, g string, a double, b double, d double, flag double, x_filled string"
@@ -55,3 +58,45 @@ def test_unusable_nan_and_unknown_group(spark):
 def test_empty_table(spark):
     out = run(spark, [])
     assert out.count() == 0 and {"a_filled", "flag_filled"} <= set(out.columns)
+
+
+def test_the_fit_settles_and_starts_near_its_end(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2)) @ rng.normal(size=(2, 9)) + rng.normal(size=(600, 9)) * 0.1
+    x[rng.random(x.shape) < 0.2] = np.nan
+    cells = spark.createDataFrame([([None if np.isnan(a) else float(a) for a in row],) for row in x], "c array<double>")
+    v, rmse = impute.fit(cells, 9, rank=2, ridge=0.1)
+    assert v.shape == (9, 2) and len(rmse) < 40 and rmse[-1] < 0.15
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        impute.fit(cells, 9, rank=2, ridge=0.1, iterations=1)
+
+
+def test_found_rows_come_from_decoded_values(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    assert problems.p1_found(spark, d).count() > 0
+    assert "ArrowEvalPython" in problems.p1_found(spark, d)._jdf.queryExecution().toString()
+    nothing = lambda x, v, ridge: (np.full((len(x), v.shape[1]), np.nan), (~np.isnan(x)).astype(float))
+    found = problems.p1_found(spark, d)
+    monkeypatch.setattr(impute, "fit", lambda cells, width, *a, **k: (np.full((width, impute.RANK), np.nan), []))
+    monkeypatch.setattr(impute, "_solve_rows", nothing)
+    undecoded = problems.p1_found(spark, d)
+    assert undecoded.count() == 0 < found.count()
+
+
+def test_hidden_cells_of_the_sample_come_back_better_than_group_means(spark, tmp_path):
+    """A tenth of the usable cells, by a hash of the id: closer than the mean of their position and season."""
+    d = "/root/testdata/sf0.01"
+    x = read(spark, d, "player_examples")
+    hide = lambda f: F.pmod(F.xxhash64("example_id", F.lit(f)), F.lit(10)) == 0
+    usable = {"games_lag2": (c("experience") >= 2) & c("games_lag2").between(1, 17), "target_share": c("position").isin("RB", "WR", "TE") & (c("experience") >= 1) & (c("target_share") > 0) & (c("target_share") <= 1)}
+    hidden = x
+    for f in usable:
+        hidden = hidden.withColumn(f, F.when(~hide(f), c(f)))
+    hidden.write.parquet(str(tmp_path / "player_examples.parquet"))
+    got = stage(problems.p1_filled(spark, str(tmp_path)))
+    for f, ok in usable.items():
+        truth = x.where(ok & hide(f)).select("example_id", "position", "season", c(f).alias("truth"))
+        mean = x.where(ok & ~hide(f)).groupBy("position", "season").agg(F.avg(f).alias("mean"))
+        r = truth.join(got.select("example_id", c(f).alias("got")), "example_id").join(mean, ["position", "season"], "left").agg(F.avg(F.abs(c("got") - c("truth"))).alias("a"), F.avg(F.abs(c("mean") - c("truth"))).alias("b"), F.corr("got", "truth").alias("r"), F.count("truth").alias("n")).first()
+        print(f, r)
+        assert r["n"] > 50 and r["a"] < 0.9 * r["b"] and r["r"] > 0.5, (f, r)
