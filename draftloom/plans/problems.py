@@ -116,7 +116,7 @@ def _drift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     files = drift.ordered_files(read(spark, sf_dir, "stats_files"))
     parsed = stage(drift.parse_lines(files, read(spark, sf_dir, "stats_file_lines")), "drift-lines")
     profiled = stage(drift.profile(parsed), "drift-profile")
-    matches = drift.correspondences(files, profiled, [n for n, _ in schema])
+    matches = drift.correspondences(files, profiled, schema)
     return files, parsed, stage(drift.assigned(files, profiled, matches), "drift-columns"), schema
 
 
