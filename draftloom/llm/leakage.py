@@ -3,10 +3,13 @@
 Texts are reduced to words that survive case, punctuation, markup, escapes, quotation and comment signs and encoding
 damage. Every n-gram of an item is a seed. A pass over the corpus joins seeds with documents and counts them in bands of
 diagonals (place in the document minus place in the item): a band with a seed that few items have and one more, or with
-several common ones, makes a candidate. The second rule is exact: a stretch of 20 words or more with one word in eight
-changed keeps at least five of its 5-grams, all within a few diagonals, so nothing that rarity leaves out is lost.
-Candidates are aligned by a local alignment in layers of edits, which finds the longest stretch for every number of
-edits; a leak is a stretch of at least ``least`` item words with at most one edit in eight.
+several common ones, makes a candidate. The second rule is exact: so many n-grams outlast the edits of any stretch that
+counts, all within a few diagonals (``plan`` works the numbers out), so nothing that rarity leaves out is lost.
+
+Candidates are aligned by Smith-Waterman recurrences over words: an item word scores 1, an edit costs ``one_in``, an
+alignment may start afresh at any word that agrees. A leak needs a score of nought and a length of ``least`` item words, so
+a stretch may not be cut where its score alone would gain by it; scores are therefore kept apart by the number of edits
+(at one number of edits the best score is the longest stretch). No layer beyond ``plan``'s is needed.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,12 +28,11 @@ from pyspark.sql import functions as F
 from draftloom.session import spread, stage
 
 GRAM, LEAST, ONE_IN = 5, 20, 8
-RARE_ITEMS, RARE_HITS, COMMON_HITS = 5, 2, 4
-BAND = 16  # a stretch of up to 39 words drifts by at most 4 diagonals; bands overlap by half
+RARE_ITEMS, RARE_HITS = 5, 2
 MAX_BROADCAST_SEEDS, MAX_FORMS = 2_000_000, 1_000_000
 LEAK = ["item_id", "item_word", "n_words", "edits", "doc_end"]
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z](?:[^<>]{0,300}|(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?-->", re.S)
 _LINK = re.compile(r"\]\([^)\s]*(?:\s+\"[^\"]*\")?\)|\b(?:https?|ftp)://[^\s<>\"')\]]+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _SPACES = re.compile("[\u2010-\u2015\u2026\u2190-\u21ff\u00a0\u2000-\u200a\u2028\u2029\u202f\u3000|/]")
@@ -93,34 +96,60 @@ def spellings(text: str | None) -> dict[str, str]:
     return out
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Numbers that follow from n-grams of ``gram`` words, stretches of ``least`` words or more and one edit in ``one_in``."""
+
+    gram: int
+    least: int
+    one_in: int
+    layers: int
+    common_hits: int
+    band: int
+
+
+def plan(gram: int = GRAM, least: int = LEAST, one_in: int = ONE_IN) -> Plan:
+    """The edits to allow for, the n-grams any leaked stretch keeps, and how wide a band of diagonals holds them all.
+
+    A longer stretch can be halved until it has fewer than 2 x least words, so (2 x least - 1) / one_in edits do; each
+    spoils at most ``gram`` n-grams and shifts the diagonal by one. Parameters that leave no n-gram are refused.
+    """
+    layers = (2 * least - 1) // one_in
+    kept = min(n - gram + 1 - gram * (n // one_in) for n in range(least, 2 * least))
+    if kept < 1:
+        raise ValueError(f"a stretch of {least} words with one edit in {one_in} may keep no run of {gram} words; use shorter ones")
+    return Plan(gram, least, one_in, layers, max(1, kept - 1), max(16, 4 * layers))
+
+
 def align(doc: list[str], item: list[str], least: int = LEAST, one_in: int = ONE_IN) -> tuple[int, int, int, int] | None:
     """The best stretch of ``item`` in ``doc`` as (first item word, item words, edits, end in the document), or None.
 
-    A stretch begins and ends with words that agree. Layer e of the alignment holds, for each end, the earliest item
-    word from which at most e edits lead there. A longer stretch can be halved until it has fewer than 2 x least words,
-    so layers up to (2 x least - 1) / one_in do.
+    A stretch begins and ends with words that agree. Row by row over the item, score[e, j] is the best score of an
+    alignment with e edits that ends at document word j: words agree (+1, also as a fresh start), an item word is changed
+    or dropped (1 - one_in), a document word is put in (-one_in).
     """
     layers = (2 * least - 1) // one_in
     code: dict[str, int] = {}
     it = np.array([code.setdefault(w, len(code)) for w in item], dtype=np.int32)
     dc = np.array([code.get(w, -1) for w in doc], dtype=np.int32)
-    m, far = len(dc), 1 << 29
-    prev = np.full((layers + 1, m + 1), far, dtype=np.int32)
+    m, none = len(dc), -(1 << 29)
+    score = np.full((layers + 1, m + 1), none, dtype=np.int32)
     best = None
     for i in range(1, len(it) + 1):
-        agreed = np.full((layers + 1, m + 1), far, dtype=np.int32)
-        agreed[:, 1:] = np.where(dc == it[i - 1], np.minimum(prev[:, :-1], i - 1), far)
-        now = agreed.copy()
-        np.minimum(now[1:], prev[:-1], out=now[1:])
-        np.minimum(now[1:, 1:], prev[:-1, :-1], out=now[1:, 1:])
+        row = np.full((layers + 1, m + 1), none, dtype=np.int32)
+        same = dc == it[i - 1]
+        row[:, 1:] = np.where(same, score[:, :-1] + 1, none)
+        np.maximum(row[0, 1:], same, out=row[0, 1:], where=same)
+        tops = row.max(axis=1).tolist()
+        for e, top in enumerate(tops):
+            n = top + one_in * e
+            if top >= 0 and n >= least and (best is None or (top, n) > best[0]):
+                best = ((top, n), (i - n, n, e, int(row[e].argmax())))
+        np.maximum(row[1:], score[:-1] + (1 - one_in), out=row[1:])
+        np.maximum(row[1:, 1:], score[:-1, :-1] + (1 - one_in), out=row[1:, 1:])
         for e in range(1, layers + 1):
-            np.minimum(now[e], now[e - 1], out=now[e])
-            np.minimum(now[e, 1:], now[e - 1, :-1], out=now[e, 1:])
-        for e, start in enumerate(agreed.min(axis=1).tolist()):
-            n = i - start
-            if n >= least and e * one_in <= n and (best is None or (n - one_in * e, n) > best[0]):
-                best = ((n - one_in * e, n), (start, n, e, int(agreed[e].argmin())))
-        prev = now
+            np.maximum(row[e, 1:], row[e - 1, :-1] - one_in, out=row[e, 1:])
+        score = row
     return best[1] if best else None
 
 
@@ -138,36 +167,42 @@ def seeds_of(items: DataFrame, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     return stage(seeds.distinct().join(rare, "seed"), "leak-seeds"), prepared
 
 
-def dense(doc: list[str], item: list[str], diagonal: int, least: int = LEAST, one_in: int = ONE_IN) -> bool:
+def dense(doc: list[str], item: list[str], diagonal: int, p: Plan) -> bool:
     """Whether a stretch of ``item`` can lie in the band of diagonals that starts at ``diagonal``: an exact bound.
 
     Of any ``least`` words in a row of a leaked stretch all but its edits stand in the document near their diagonal.
     """
-    edits = (2 * least - 1) // one_in
     run = 0
     here: list[bool] = []
     for place, word in enumerate(item):
-        start = place + diagonal - edits
-        found = word in doc[max(0, start) : max(0, start + BAND + 2 * edits)]
+        start = place + diagonal - p.layers
+        found = word in doc[max(0, start) : max(0, start + p.band + 2 * p.layers)]
         here.append(found)
-        run += found - (place >= least and here[place - least])
-        if place >= least - 1 and run >= least - edits:
+        run += found - (place >= p.least and here[place - p.least])
+        if place >= p.least - 1 and run >= p.least - p.layers:
             return True
     return False
 
 
-def _bands(seeds: dict[tuple[str, ...], list[tuple[int, int, bool]]], texts: dict[int, list[str]], forms: dict[str, str], gram: int, least: int, one_in: int):
+def _reduced(batch: pd.DataFrame, forms: dict[str, str] | None) -> Iterator[list[str]]:
+    """The words of each text, spellings put right by ``forms`` or, where there are too many, by the row's own."""
+    own = batch["own_forms"] if forms is None else [None] * len(batch)
+    for text, mine in zip(batch["text"], own):
+        known = forms if forms is not None else {f["form"]: f["word"] for f in mine} if mine is not None else {}
+        yield [known.get(w, w) for w in words(text)] if known else words(text)
+
+
+def _bands(seeds: dict[tuple[str, ...], list[tuple[int, int, bool]]], texts: dict[int, list[str]], forms: dict[str, str] | None, p: Plan):
     """Documents -> leaks, by postings and item texts the task holds: found and aligned where the text is read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ws = [forms.get(w, w) for w in words(text)] if forms else words(text)
+            for doc_id, ws in zip(batch["doc_id"], _reduced(batch, forms)):
                 bands: dict[tuple[int, int], list[int]] = {}
-                for i, words_here in enumerate(zip(*[ws[k:] for k in range(gram)])):
+                for i, words_here in enumerate(zip(*[ws[k:] for k in range(p.gram)])):
                     for item, place, rare in seeds.get(words_here, ()):
-                        diagonal = (i - place) // (BAND // 2)
+                        diagonal = (i - place) // (p.band // 2)
                         for key in ((item, diagonal), (item, diagonal - 1)):
                             band = bands.setdefault(key, [0, 0, i, i])
                             band[0] += 1
@@ -175,84 +210,98 @@ def _bands(seeds: dict[tuple[str, ...], list[tuple[int, int, bool]]], texts: dic
                             band[3] = i
                 near: dict[int, list[list[int]]] = {}
                 for (item, diagonal), (n, rare, low, high) in sorted(bands.items(), key=lambda x: x[1][2]):
-                    if (n >= COMMON_HITS or (rare and n >= RARE_HITS)) and dense(ws, texts[item], diagonal * (BAND // 2), least, one_in):
+                    if (n >= p.common_hits or (rare and n >= RARE_HITS)) and dense(ws, texts[item], diagonal * (p.band // 2), p):
                         spots = near.setdefault(item, [])
                         if spots and low <= spots[-1][1] + len(texts[item]):
                             spots[-1][1] = max(spots[-1][1], high)
                         else:
                             spots.append([low, high])
-                rows += [(doc_id, *x) for item, spots in near.items() for low, high in spots if (x := _leak(ws, texts[item], item, low, high, least, one_in, gram))]
+                rows += [(doc_id, *x) for item, spots in near.items() for low, high in spots if (x := _leak(ws, texts[item], item, low, high, p))]
             yield pd.DataFrame(rows, columns=["doc_id", *LEAK])
 
     return run
 
 
-def _all_grams(forms: dict[str, str], gram: int):
+def _all_grams(forms: dict[str, str] | None, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ws = [forms.get(w, w) for w in words(text)]
+            for doc_id, ws in zip(batch["doc_id"], _reduced(batch, forms)):
                 if len(ws) >= gram:
                     yield pd.DataFrame({"doc_id": doc_id, "at": range(len(ws) - gram + 1), "seed": [" ".join(ws[i : i + gram]) for i in range(len(ws) - gram + 1)]})
 
     return run
 
 
-def _leak(doc: list[str], item: list[str], item_id: int, low: int, high: int, least: int, one_in: int, gram: int) -> tuple | None:
+def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(d, w) for d, text in zip(batch["doc_id"], batch["text"]) for w in set(words(text))]
+        yield pd.DataFrame(rows, columns=["doc_id", "form"])
+
+
+def _leak(doc: list[str], item: list[str], item_id: int, low: int, high: int, p: Plan) -> tuple | None:
     """The alignment of one candidate around its seeds at ``low``..``high``."""
-    reach = len(item) + len(item) // one_in + gram
+    reach = len(item) + len(item) // p.one_in + p.gram
     start = max(0, low - reach)
-    found = align(doc[start : high + reach], item, least, one_in)
+    found = align(doc[start : high + reach], item, p.least, p.one_in)
     return (item_id, *found[:3], start + found[3]) if found else None
 
 
-def _aligned(forms: dict[str, str], least: int, one_in: int, gram: int):
+def _aligned(forms: dict[str, str] | None, p: Plan):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            texts: dict[int, list[str]] = {}
-            for doc_id, text, item_id, item, low, high in zip(batch["doc_id"], batch["text"], batch["item_id"], batch["words"], batch["low"], batch["high"]):
-                if doc_id not in texts:
-                    texts = {doc_id: [forms.get(w, w) for w in words(text)]}
-                if x := _leak(texts[doc_id], list(item), item_id, int(low), int(high), least, one_in, gram):
-                    rows.append((doc_id, *x))
+            for doc_id, ws, item_id, item, bands in zip(batch["doc_id"], _reduced(batch, forms), batch["item_id"], batch["words"], batch["bands"]):
+                it = list(item)
+                spots: list[list[int]] = []
+                for b in sorted(bands, key=lambda b: b["low"]):
+                    if dense(ws, it, int(b["band"]) * (p.band // 2), p):
+                        if spots and b["low"] <= spots[-1][1] + len(it):
+                            spots[-1][1] = max(spots[-1][1], b["high"])
+                        else:
+                            spots.append([b["low"], b["high"]])
+                rows += [(doc_id, *x) for low, high in spots if (x := _leak(ws, it, item_id, int(low), int(high), p))]
             yield pd.DataFrame(rows, columns=["doc_id", *LEAK])
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, least: int = LEAST, one_in: int = ONE_IN, max_broadcast_seeds: int = MAX_BROADCAST_SEEDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, least: int = LEAST, one_in: int = ONE_IN, max_broadcast_seeds: int = MAX_BROADCAST_SEEDS, max_forms: int = MAX_FORMS) -> DataFrame:
     """(doc_id, item_id, item_word, n_words, edits, doc_end): every document and item that share a long enough stretch.
 
     Null and empty texts hold and leak nothing; items shorter than ``least`` words cannot leak; items sharing a passage
     each come out; of several stretches of one item in one document the best one is reported. Repeated doc_ids count as
     one document. Seeds travel to the tasks while they are at most ``max_broadcast_seeds`` (their number is checked);
-    beyond that the n-grams of the corpus meet them in a join. Other spellings of the items' accented words are looked up
-    while they are at most MAX_FORMS.
+    beyond that the n-grams of the corpus meet them in a join. So do other spellings of the items' accented words while
+    they are at most ``max_forms``; beyond that each document's words meet them in a join.
     """
+    p = plan(gram, least, one_in)
     seeds, prepared = seeds_of(items, gram)
     text = docs.select(F.col("doc_id"), F.col("text")).where(F.col("text").isNotNull())
-    body = spread(text)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, item_word int, n_words int, edits int, doc_end int"
-    spelled = prepared.select(F.explode("forms").alias("f")).select("f.form", "f.word").distinct().limit(MAX_FORMS + 1).collect()
-    forms = {r[0]: r[1] for r in spelled} if len(spelled) <= MAX_FORMS else {}
+    spellings_ = prepared.select(F.explode("forms").alias("f")).select("f.form", "f.word").groupBy("form").agg(F.min("word").alias("word"))
+    spelled = spellings_.limit(max_forms + 1).collect()
+    forms = {r[0]: r[1] for r in spelled} if len(spelled) <= max_forms else None
+    if forms is None:
+        met = text.mapInPandas(_distinct_words, f"doc_id {kind}, form string").join(spellings_, "form")
+        text = stage(text.join(met.groupBy("doc_id").agg(F.collect_set(F.struct("form", "word")).alias("own_forms")), "doc_id", "left"), "leak-texts")
+    body = spread(text)
     if seeds.count() <= max_broadcast_seeds:
         postings: dict[tuple[str, ...], list[tuple[int, int, bool]]] = {}
         for r in seeds.collect():
             postings.setdefault(tuple(r["seed"].split(" ")), []).append((r["item_id"], r["place"], r["rare"]))
         texts = {r["item_id"]: list(r["words"]) for r in prepared.select("item_id", "words").collect()}
-        shared = docs.sparkSession.sparkContext.broadcast((postings, texts))
-        found = body.mapInPandas(lambda it: _bands(*shared.value, forms, gram, least, one_in)(it), schema)
+        shared = docs.sparkSession.sparkContext.broadcast((postings, texts, forms))
+        found = body.mapInPandas(lambda it: _bands(*shared.value, p)(it), schema)
     else:
         hits = body.mapInPandas(_all_grams(forms, gram), f"doc_id {kind}, at int, seed string").join(seeds, "seed")
-        diagonal = F.floor((F.col("at") - F.col("place")) / (BAND // 2))
+        diagonal = F.floor((F.col("at") - F.col("place")) / (p.band // 2))
         hits = hits.select("doc_id", "item_id", "at", "rare", F.explode(F.array(diagonal, diagonal - 1)).alias("band"))
         bands = hits.groupBy("doc_id", "item_id", "band").agg(F.count(F.lit(1)).alias("n"), F.count_if("rare").alias("r"), F.min("at").alias("low"), F.max("at").alias("high"))
-        bands = bands.where((F.col("n") >= COMMON_HITS) | ((F.col("r") > 0) & (F.col("n") >= RARE_HITS)))
-        pairs = stage(bands.groupBy("doc_id", "item_id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "leak-candidates")
-        ready = pairs.join(prepared.select("item_id", "words"), "item_id").join(text, "doc_id").select("doc_id", "text", "item_id", "words", "low", "high")
-        found = ready.mapInPandas(_aligned(forms, least, one_in, gram), schema)
+        bands = bands.where((F.col("n") >= p.common_hits) | ((F.col("r") > 0) & (F.col("n") >= RARE_HITS)))
+        pairs = stage(bands.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("band", "low", "high")).alias("bands")), "leak-candidates")
+        ready = pairs.join(prepared.select("item_id", "words"), "item_id").join(text, "doc_id")
+        found = ready.mapInPandas(_aligned(forms, p), schema)
     columns = LEAK[1:]
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*columns), F.struct(F.col("n_words") - one_in * F.col("edits"), "n_words", "doc_end")).alias("b"))
     return best.select("doc_id", "item_id", *[F.col(f"b.{c}").alias(c) for c in columns])

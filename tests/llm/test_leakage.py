@@ -84,3 +84,56 @@ def test_empty_tables(spark):
     docs, items = tables(spark)
     assert lk.leaks(docs.limit(0), items).count() == 0
     assert lk.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_plan_follows_from_its_parameters():
+    assert (lk.plan().layers, lk.plan().common_hits, lk.plan().band) == (4, 4, 16)
+    p = lk.plan(5, 10, 8)
+    assert p.common_hits == 1
+    for least, one_in, gram in ((20, 8, 5), (10, 8, 5), (30, 10, 6)):
+        kept = lk.plan(gram, least, one_in).common_hits
+        for n in range(least, 2 * least):
+            edits = n // one_in
+            assert n - gram + 1 - gram * edits >= kept
+    with pytest.raises(ValueError, match="shorter"):
+        lk.plan(12, 20, 8)
+
+
+def test_scores_are_those_of_a_plain_recurrence():
+    """Layers of edits against a full table over (item, document, edits)."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        item = [rng.choice("abcdefgh") for _ in range(30)]
+        doc = edited(item, sorted(rng.sample(range(30), 3))) + [rng.choice("abcdefgh") for _ in range(10)]
+        low, table, best = -999, {}, None
+        for i in range(1, 31):
+            for j in range(1, len(doc) + 1):
+                for e in range(5):
+                    options = [low]
+                    if doc[j - 1] == item[i - 1]:
+                        agreed = max([table.get((i - 1, j - 1, e), low) + 1] + [1] * (e == 0))
+                        options.append(agreed)
+                        n = agreed + 8 * e
+                        if agreed >= 0 and n >= 20 and (best is None or (agreed, n) > best):
+                            best = (agreed, n)
+                    if e:
+                        options += [table.get((i - 1, j, e - 1), low) - 7, table.get((i - 1, j - 1, e - 1), low) - 7, table.get((i, j - 1, e - 1), low) - 8]
+                    table[i, j, e] = max(options)
+        found = lk.align(doc, item)
+        assert (best is None) == (found is None)
+        if found:
+            assert (found[1] - 8 * found[2], found[1]) == best
+
+
+def test_long_tags_do_not_stand_between_words():
+    assert lk.words("one <a href='" + "x y " * 400 + "'>two</a> three") == ["one", "two", "three"]
+
+
+def test_too_many_spellings_meet_the_words_in_a_join(spark):
+    item = ("die größe der häufigkeit über den schlüssel für ähnliche prüfung und länge " * 2).split()
+    bare = " ".join(item).replace("ö", "o").replace("ä", "a").replace("ü", "u").replace("ß", "ss")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, bare), (2, "nothing here"), (3, " ".join(item)), (4, None)], "doc_id long, text string")
+    for seeds in (lk.MAX_BROADCAST_SEEDS, 0):
+        got = {tuple(r) for r in lk.leaks(docs, items, max_forms=0, max_broadcast_seeds=seeds).collect()}
+        assert got == {tuple(r) for r in lk.leaks(docs, items, max_broadcast_seeds=seeds).collect()} and {r[0] for r in got} == {1, 3}
