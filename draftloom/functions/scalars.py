@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -165,7 +166,25 @@ def grade(score: Column, steps: list[tuple[float, str]], otherwise: str) -> Colu
     return out.otherwise(F.lit(otherwise))
 
 
+def _accented() -> tuple[str, str]:
+    """Letters of the Latin blocks that decompose into an ASCII letter and marks, and those letters."""
+    pairs = [(chr(n), unicodedata.normalize("NFKD", chr(n))) for block in ((0xC0, 0x250), (0x1E00, 0x1F00)) for n in range(*block)]
+    kept = [(a, "".join(ch for ch in b if ch.isascii())) for a, b in pairs if a != b]
+    kept = [(a, b) for a, b in kept if len(b) == 1]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+def fold(text: Column) -> Column:
+    """Accents off: decomposed marks are dropped, Latin letters with marks become their base letters."""
+    return F.regexp_replace(F.translate(text, *_accented()), r"[\x{300}-\x{36f}]", "")
+
+
 def ascii_key(name: Column) -> Column:
-    """Letters and digits of a name, lower case, without generation suffixes."""
-    bare = F.regexp_replace(F.lower(name), r"\s+(jr|sr|ii|iii|iv|v)\.?$", "")
+    """Letters and digits of a name, lower case, without accents and generation suffixes."""
+    bare = F.regexp_replace(F.lower(fold(name)), r"\s+(jr|sr|ii|iii|iv|v)\.?$", "")
     return F.regexp_replace(bare, "[^a-z0-9]", "")
+
+
+def unicode_key(name: Column) -> Column:
+    """Letters and digits of any script, lower case: accents and other alphabets stay."""
+    return F.regexp_replace(F.lower(name), r"[^\p{L}\p{Nd}]", "")

@@ -45,26 +45,28 @@ def strongest(records: DataFrame, key: str, strength: list, value: list[str]) ->
 
 
 def greedy_union(rows: DataFrame, order: str, first_key: str, second_key: str) -> DataFrame:
-    """Rows whose two keys are both new, in order. A row dropped for one key blocks no other key.
+    """Rows whose two keys are both new, in order. A row dropped for one key blocks no other key; a null key blocks nothing.
 
     Connected keys must be decided together, so each row waits for the earlier rows of its keys; rounds settle all rows
     whose rivals are settled, and end when none is left. A chain of rivals of length n takes n rounds.
     """
     from draftloom.session import stage
 
-    open_rows = stage(rows.withColumn("state", F.lit(0)), "greedy")
+    # a null key is a key of its own
+    own = lambda key: F.coalesce(F.concat(F.lit("k"), c(key).cast("string")), F.concat(F.lit("n"), c(order).cast("string")))
+    open_rows = stage(rows.select("*", own(first_key).alias("key_1"), own(second_key).alias("key_2"), F.lit(0).alias("state")), "greedy")
     while True:
         def rivals(key: str) -> DataFrame:
             o = open_rows.groupBy(key).agg(F.min(F.when(c("state") == 0, c(order))).alias(f"open_{key}"), F.min(F.when(c("state") == 1, c(order))).alias(f"kept_{key}"))
             return o
 
-        x = open_rows.join(rivals(first_key), first_key).join(rivals(second_key), second_key)
-        kept = F.least(f"kept_{first_key}", f"kept_{second_key}")
-        turn = (c(order) == c(f"open_{first_key}")) & (c(order) == c(f"open_{second_key}"))
+        x = open_rows.join(rivals("key_1"), "key_1").join(rivals("key_2"), "key_2")
+        kept = F.least("kept_key_1", "kept_key_2")
+        turn = (c(order) == c("open_key_1")) & (c(order) == c("open_key_2"))
         state = F.when(c("state") != 0, c("state")).when(kept.isNotNull(), F.lit(2)).when(turn, F.lit(1)).otherwise(F.lit(0))
-        open_rows = stage(x.select(*rows.columns, state.alias("state")), "greedy")
+        open_rows = stage(x.select(*rows.columns, "key_1", "key_2", state.alias("state")), "greedy")
         if open_rows.where("state = 0").isEmpty():
-            return open_rows.where("state = 1").drop("state")
+            return open_rows.where("state = 1").select(*rows.columns)
 
 
 def adjacent_pairs(rows: DataFrame, group: list[str], order: list, key: str, value: str, most: float) -> DataFrame:

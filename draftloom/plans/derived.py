@@ -188,7 +188,7 @@ def ranking_disagreement(spark: SparkSession, d: str) -> DataFrame:
 
 _OK = "target_ppr_total IS NOT NULL AND NOT isnan(target_ppr_total) AND fantasy_points_ppr_lag1 IS NOT NULL AND NOT isnan(fantasy_points_ppr_lag1)"
 _PTS = "fantasy_points IS NOT NULL AND NOT isnan(fantasy_points) AND abs(fantasy_points) < 100"
-_KEY = "regexp_replace(regexp_replace(lower(name), '\\s+(jr|sr|ii|iii|iv|v)\\.?$', ''), '[^a-z0-9]', '', 'g')"
+_KEY = "regexp_replace(regexp_replace(lower(strip_accents(name)), '\\s+(jr|sr|ii|iii|iv|v)\\.?$', ''), '[^a-z0-9]', '', 'g')"
 
 
 def _split_sql() -> str:

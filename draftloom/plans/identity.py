@@ -43,7 +43,7 @@ def strongest_record_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def greedy_union_two_keys(spark: SparkSession, d: str) -> DataFrame:
     """Listings in order, each source player and each name once."""
-    x = read(spark, d, "source_listings").where("name is not null").select("listing_id", S.ascii_key(c("name")).alias("nk"), F.concat_ws(":", "source_id", c("birth_date")).alias("bk"))
+    x = read(spark, d, "source_listings").where("name is not null").select("listing_id", S.ascii_key(c("name")).alias("nk"), F.concat("source_id", F.lit(":"), c("source_player_id")).alias("bk"))
     return I.greedy_union(x, "listing_id", "nk", "bk").select("listing_id")
 
 
@@ -120,7 +120,7 @@ def search_board(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "players").where(F.lower(F.concat_ws(" ", "name", "team")).contains("gra")).select("roster_row_id", "name", "team")
 
 
-_KEY = "regexp_replace(regexp_replace(lower({0}), '\\s+(jr|sr|ii|iii|iv|v)\\.?$', ''), '[^a-z0-9]', '', 'g')"
+_KEY = "regexp_replace(regexp_replace(lower(strip_accents({0})), '\\s+(jr|sr|ii|iii|iv|v)\\.?$', ''), '[^a-z0-9]', '', 'g')"
 _INIT = "concat(substr(split_part(regexp_replace(lower({0}), '\\s+(jr|sr|ii|iii|iv|v)\\.?$', ''), ' ', 1), 1, 1), ':', list_last(string_split(regexp_replace(lower({0}), '\\s+(jr|sr|ii|iii|iv|v)\\.?$', ''), ' ')))"
 
 

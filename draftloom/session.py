@@ -41,12 +41,15 @@ def build_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session names none (tests, a laptop) is a folder of our own made and set.
+    Only where a local session names none (tests, a laptop) is a folder of our own made and set; on a cluster executors
+    would write to their own disks, so there the setting is required.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not named:
         named = spark.sparkContext.getCheckpointDir() or ""
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="draftloom-")
         _own_dirs.append(named)
         spark.sparkContext.setCheckpointDir(named)
@@ -73,7 +76,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for work that costs much per row, where its few files would keep most cores idle.
 
-    An input of at least as many partitions as there are cores stays as it is, so only small inputs are moved.
+    Judged by the plan's size alone, so nothing runs to find out: an input that fills a scan partition per core stays as
+    it is, and only smaller ones are moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    per_partition = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= cores * per_partition else df.repartition(cores)

@@ -62,3 +62,18 @@ def test_greedy_union_is_greedy(spark):
             b.add(q)
     df = spark.createDataFrame(rows, "o int, p string, q string")
     assert sorted(r["o"] for r in greedy_union(df, "o", "p", "q").collect()) == kept
+
+
+def test_a_null_key_blocks_nothing(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "a", "x"), (4, None, "x"), (5, None, "x")], "o long, p string, q string")
+    assert sorted(r["o"] for r in greedy_union(df, "o", "p", "q").collect()) == [1, 2, 4]
+
+
+def test_golden_names(spark):
+    from draftloom.functions import scalars as S
+
+    golden = {"José Núñez Jr.": "josenunez", "D'André Swift": "dandreswift", "Amon-Ra St. Brown": "amonrastbrown", "Kenneth Walker III": "kennethwalker", "Şerif Łoś": "serifos", "Jose\u0301": "jose", "  ": ""}
+    df = spark.createDataFrame([(n,) for n in golden], "name string")
+    got = {r[0]: r[1] for r in df.select("name", S.ascii_key(F.col("name"))).collect()}
+    assert got == golden
+    assert df.where("name like 'José%'").select(S.unicode_key(F.col("name"))).first()[0] == "josénúñezjr"
