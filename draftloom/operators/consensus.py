@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftloom.operators import ranks
+
+BLOCK = 4096
+
 
 def score_sources(rows: DataFrame, source: str, projected: Column, actual: Column, least: int = 1) -> DataFrame:
     """(source, samples, rmse, mae) of every source with at least ``least`` rows."""
@@ -38,21 +42,26 @@ def leave_one_out(rows: DataFrame, key: str, source: str, value: str) -> DataFra
 def neighbour_bias(rows: DataFrame, group: str, key: str, target: str, residual: str, k: int = 9) -> DataFrame:
     """The median residual of the k rows of the group nearest by target, excluding the row itself.
 
-    Nearest rows lie within k places in target order, so a bounded window frame replaces the self-join. Ties in
-    distance go to the larger target, then the smaller key.
+    Nearest rows lie within k places in target order, so a bounded window frame replaces the self-join. Groups are cut
+    into runs of BLOCK places, each with k more at both ends, so no group is one task. Ties in distance go to the larger
+    target, then the smaller key.
     """
-    order = Window.partitionBy(group).orderBy(target, key)
+    at = F.col("__place") - 1
+    block = F.floor(at / BLOCK)
+    into = F.array_compact(F.array(block, F.when(F.pmod(at, F.lit(BLOCK)) < k, block - 1), F.when(F.pmod(at, F.lit(BLOCK)) >= BLOCK - k, block + 1)))
+    spread = ranks.placed(rows, [group], [F.col(target), F.col(key)], "__place").withColumn("__own", block).withColumn("__block", F.explode(into))
+    order = Window.partitionBy(group, "__block").orderBy(target, key)
     row = F.struct(F.col(key).alias("k"), F.col(target).alias("t"), F.col(residual).alias("r"))
     near = F.concat(F.collect_list(row).over(order.rowsBetween(-k, -1)), F.collect_list(row).over(order.rowsBetween(1, k)))
     ranked = F.slice(F.array_sort(F.transform(near, lambda x: F.struct(F.abs(x["t"] - F.col(target)).alias("d"), (-x["t"]).alias("o"), x["k"].alias("k"), x["r"].alias("r")))), 1, k)
     rs = F.array_sort(F.transform(ranked, lambda x: x["r"]))
     n = F.size(rs)
     mid = F.when(n == 0, 0.0).when(F.pmod(n, F.lit(2)) == 1, F.try_element_at(rs, ((n + 1) / 2).cast("int"))).otherwise((F.try_element_at(rs, (n / 2).cast("int")) + F.try_element_at(rs, (n / 2).cast("int") + 1)) / 2)
-    return rows.withColumn("near", near).withColumn("bias", mid).drop("near")
+    return spread.withColumn("near", near).withColumn("bias", mid).where("__block = __own").drop("near", "__place", "__own", "__block")
 
 
 def map_by_rank(left: DataFrame, right: DataFrame, group: str, left_order: list[Column], right_order: list[Column], value: str) -> DataFrame:
     """The n-th row of each group on the left gets ``value`` of the n-th row on the right."""
-    a = left.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*left_order)))
-    b = right.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*right_order))).select(group, "place", value)
+    a = ranks.placed(left, [group], left_order)
+    b = ranks.placed(right, [group], right_order).select(group, "place", value)
     return a.join(b, [group, "place"])

@@ -6,24 +6,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftloom.operators import ranks
+
 c = F.col
 FLEX = ("RB", "WR", "TE")
 
 
 def replacement(pool: DataFrame, group: list[str], value: str, key: str, demand: Column) -> DataFrame:
     """Per group the value at place min(demand, size - 1) from the top, demand from 0: what can be had for nothing."""
-    w = Window.partitionBy(*group)
-    x = pool.withColumn("n_", F.count(F.lit(1)).over(w)).withColumn("r_", F.row_number().over(w.orderBy(c(value).desc(), key)) - 1)
-    return x.where(c("r_") == F.least(F.greatest(demand, F.lit(0)), c("n_") - 1)).select(*group, c(value).alias("replacement"))
+    return ranks.order_statistics(pool, group, value, {"replacement": c("n") - 1 - F.least(F.greatest(demand, F.lit(0)), c("n") - 1)})
 
 
 def over_replacement(pool: DataFrame, group: list[str], value: str, key: str, demand: Column) -> DataFrame:
     return pool.join(replacement(pool, group, value, key, demand), group).withColumn("over", c(value) - c("replacement"))
 
 
-def top_k(rows: DataFrame, group: list[str], order: list[Column], k: Column | int) -> DataFrame:
-    k = F.lit(k) if isinstance(k, int) else k
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(c("place") <= k)
+def top_k(rows: DataFrame, group: list[str], order: list[Column], k: Column | int, most: int | None = None) -> DataFrame:
+    """The first k rows of each group. ``most``: a number that ``k`` never exceeds, by which groups are cut before they move."""
+    x = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(c("place") <= (k if isinstance(k, int) else most))
+    return x if isinstance(k, int) else x.where(c("place") <= k)
 
 
 def line_up(players: DataFrame, team: list[str], position: str, value: str, key: str, slots: dict[str, int], flex: int) -> DataFrame:

@@ -2,51 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftloom.operators import ranks
+
 c = F.col
 
 
-def quantile_by_index(rows: DataFrame, group: list[str], value: str, tie: str, index: Column, name: str) -> DataFrame:
+def quantile_by_index(rows: DataFrame, group: list[str], value: str, index: Column, name: str) -> DataFrame:
     """The value at ``index`` (from 0, may use the group's size ``n``) of each group in ascending order."""
-    w = Window.partitionBy(*group)
-    place = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy(value, tie)) - 1)
-    return place.where(c("place") == index).select(*group, c(value).alias(name))
+    return ranks.order_statistics(rows, group, value, {name: index})
 
 
-def quantile_floor(rows: DataFrame, group: list[str], value: str, tie: str, p: float, name: str = "q") -> DataFrame:
-    return quantile_by_index(rows, group, value, tie, F.floor((c("n") - 1) * p), name)
+def quantile_floor(rows: DataFrame, group: list[str], value: str, p: float, name: str = "q") -> DataFrame:
+    return quantile_by_index(rows, group, value, F.floor((c("n") - 1) * p), name)
 
 
-def quantile_floor_n(rows: DataFrame, group: list[str], value: str, tie: str, p: float, name: str = "q") -> DataFrame:
-    return quantile_by_index(rows, group, value, tie, F.least(c("n") - 1, F.floor(c("n") * p)), name)
+def quantile_floor_n(rows: DataFrame, group: list[str], value: str, p: float, name: str = "q") -> DataFrame:
+    return quantile_by_index(rows, group, value, F.least(c("n") - 1, F.floor(c("n") * p)), name)
 
 
-def quantile_higher(rows: DataFrame, group: list[str], value: str, tie: str, p: float, name: str = "q") -> DataFrame:
-    return quantile_by_index(rows, group, value, tie, F.ceil((c("n") - 1) * p), name)
+def quantile_higher(rows: DataFrame, group: list[str], value: str, p: float, name: str = "q") -> DataFrame:
+    return quantile_by_index(rows, group, value, F.ceil((c("n") - 1) * p), name)
 
 
-def quantile_nearest(rows: DataFrame, group: list[str], value: str, tie: str, p: float, name: str = "q") -> DataFrame:
-    return quantile_by_index(rows, group, value, tie, F.greatest(F.lit(0), F.ceil(c("n") * p) - 1), name)
+def quantile_nearest(rows: DataFrame, group: list[str], value: str, p: float, name: str = "q") -> DataFrame:
+    return quantile_by_index(rows, group, value, F.greatest(F.lit(0), F.ceil(c("n") * p) - 1), name)
 
 
-def quantile_weighted(rows: DataFrame, group: list[str], value: str, weight: str, tie: str, p: float, name: str = "q") -> DataFrame:
+def quantile_weighted(rows: DataFrame, group: list[str], value: str, weight: str, p: float, name: str = "q") -> DataFrame:
     """The first value at which the running weight reaches p of the group's weight."""
-    w = Window.partitionBy(*group)
-    run = rows.withColumn("run", F.sum(weight).over(w.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum(weight).over(w))
-    return run.where(c("run") >= c("all") * p).groupBy(*group).agg(F.min(value).alias(name))
+    h = ranks.histogram(rows, group, value, c(weight))
+    return h.where(c("n_upto") >= c("n_all") * p).groupBy(*group).agg(F.min(value).alias(name))
 
 
-def average_rank(group: list[str], value: str) -> Column:
-    """Rank from 1 in ascending order, ties sharing the mean of their places."""
-    w = Window.partitionBy(*group)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2
+def average_rank(rows: DataFrame, group: list[str], value: str, name: str = "rank") -> DataFrame:
+    """``rows`` with their rank from 1 in ascending order, ties sharing the mean of their places."""
+    return rows.join(ranks.average_ranks(rows, group, value, name), [*group, value])
 
 
 def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    ranked = rows.withColumn("rx", average_rank(group, x)).withColumn("ry", average_rank(group, y))
-    return ranked.groupBy(*group).agg(F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    """Rank correlation per group. Equal pairs of values are counted first, so ties do not grow the work."""
+    pairs = rows.groupBy(*group, x, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    r = pairs.join(ranks.average_ranks(rows, group, x, "rx"), [*group, x]).join(ranks.average_ranks(rows, group, y, "ry"), [*group, y])
+    total, mean = F.sum("w"), lambda v: F.sum(c("w") * v) / F.sum("w")
+    m = r.groupBy(*group).agg(total.alias("n"), mean(c("rx")).alias("mx"), mean(c("ry")).alias("my"))
+    d = r.join(m, group)
+    a, b = c("rx") - c("mx"), c("ry") - c("my")
+    s = d.groupBy(*group, "n").agg(F.sum(c("w") * a * b).alias("ab"), F.sum(c("w") * a * a).alias("aa"), F.sum(c("w") * b * b).alias("bb"))
+    return s.select(*group, (c("ab") / F.sqrt(F.nullif(c("aa") * c("bb"), F.lit(0.0)))).alias("spearman"), c("n").cast("long").alias("n"))
 
 
 def errors(rows: DataFrame, group: list[str], predicted: Column, actual: Column) -> DataFrame:

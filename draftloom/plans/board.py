@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from draftloom.functions import scalars as S
+from draftloom.operators import ranks
 from draftloom.plans.temporal import _SEASONS, _seasons
 from draftloom.session import read
 
@@ -88,15 +89,11 @@ def _over(spark: SparkSession, d: str) -> DataFrame:
     """Listings with mean, floor and ceiling over the replacement of their source and position: three order statistics."""
     x = _listings(spark, d)
     group = ["source_id", "position"]
-    n = x.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    # the few values down to the replacement's place, kept by a bounded top list per group
-    place = F.least(demand(c("position")), c("n") - 1).cast("int")
-    top = x
+    # demand from the top is an index from the bottom
+    index = c("n") - 1 - F.least(demand(c("position")), c("n") - 1)
     for k in ("mean", "floor", "ceiling"):
-        w = Window.partitionBy(*group).orderBy(c(k).desc(), "listing_id")
-        top = top.withColumn(f"at_{k}", F.row_number().over(w) - 1)
-    at = top.join(n, group).groupBy(*group).agg(*[F.max(F.when(c(f"at_{k}") == place, c(k))).alias(f"r_{k}") for k in ("mean", "floor", "ceiling")])
-    return x.join(at, group).select("*", *[(c(k) - c(f"r_{k}")).alias(f"o_{k}") for k in ("mean", "floor", "ceiling")])
+        x = x.join(ranks.order_statistics(_listings(spark, d), group, k, {f"r_{k}": index}), group)
+    return x.select("*", *[(c(k) - c(f"r_{k}")).alias(f"o_{k}") for k in ("mean", "floor", "ceiling")])
 
 
 def over_replacement_range(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +198,7 @@ def market_spread(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """The board of each source from one roster's view (a quarterback, a back and two receivers taken, pick 40, next 60)."""
-    x = _over(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("source_id", "position").orderBy(c("mean").desc(), "listing_id")))
+    x = ranks.placed(_over(spark, d), ["source_id", "position"], [c("mean").desc(), c("listing_id")], "rank")
     x = x.withColumn("risk", S.clamp((c("ceiling") - c("floor")) / (2 * c("mean")), 0.05, 0.95)).withColumn("scarcity", 1.0 / c("rank"))
     x = x.withColumn("lineup", F.greatest(F.lit(0.0), c("o_mean")))
     ends = x.groupBy("source_id").agg(*[f(k).alias(f"{s}_{k}") for k in ("o_mean", "o_floor", "o_ceiling", "risk", "scarcity", "lineup") for s, f in (("a", F.min), ("b", F.max))])
@@ -260,10 +257,10 @@ def swap_opportunities(spark: SparkSession, d: str) -> DataFrame:
 
     Counted by rank within season and position, not by pairs.
     """
-    w = Window.partitionBy("season", "position").orderBy(c("fantasy_points_ppr").desc(), "player_id")
-    x = _seasons(spark, d).where(c("position").isNotNull() & c("fantasy_points_ppr").isNotNull() & ~F.isnan("fantasy_points_ppr"))
-    x = x.select("player_id", "season", "position", "fantasy_points_ppr", F.row_number().over(w).alias("rank"), F.lag("player_id").over(w).alias("next_better"), (F.lag("fantasy_points_ppr").over(w) - c("fantasy_points_ppr")).alias("gain"))
-    return x.where("rank > 1").select("player_id", "season", (c("rank") - 1).alias("better"), "next_better", R("gain").alias("gain"))
+    x = _seasons(spark, d).where(c("position").isNotNull() & c("fantasy_points_ppr").isNotNull() & ~F.isnan("fantasy_points_ppr")).select("player_id", "season", "position", "fantasy_points_ppr")
+    x = ranks.placed(x, ["season", "position"], [c("fantasy_points_ppr").desc(), c("player_id")], "rank")
+    before = x.select("season", "position", (c("rank") + 1).alias("rank"), c("player_id").alias("next_better"), c("fantasy_points_ppr").alias("more"))
+    return x.join(before, ["season", "position", "rank"]).select("player_id", "season", (c("rank") - 1).alias("better"), "next_better", R(c("more") - c("fantasy_points_ppr")).alias("gain"))
 
 
 def specialists_retained(spark: SparkSession, d: str) -> DataFrame:

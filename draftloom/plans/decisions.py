@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from draftloom.functions import scalars as S
 from draftloom.operators import decision as D
+from draftloom.operators import ranks
 from draftloom.plans.temporal import _SEASONS, _seasons
 from draftloom.session import read
 
@@ -43,7 +44,7 @@ def value_over_replacement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def position_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _pool(spark, d).select("player_id", "season", F.row_number().over(Window.partitionBy("season", "position").orderBy(c("mean").desc(), "player_id")).alias("rank"))
+    return ranks.placed(_pool(spark, d), ["season", "position"], [c("mean").desc(), c("player_id")], "rank").select("player_id", "season", "rank")
 
 
 def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +52,7 @@ def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def locked_cohort(spark: SparkSession, d: str) -> DataFrame:
-    return D.top_k(_pool(spark, d), ["season", "position"], [c("mean").desc(), c("player_id")], _demand()).select("season", "player_id")
+    return D.top_k(_pool(spark, d), ["season", "position"], [c("mean").desc(), c("player_id")], _demand(), max(DEMAND.values())).select("season", "player_id")
 
 
 def position_rank_curve(spark: SparkSession, d: str) -> DataFrame:
@@ -160,8 +161,8 @@ def starter_access_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 def tier_selection(spark: SparkSession, d: str) -> DataFrame:
     """At most three of a position within max(8, 8 %) of its leader."""
-    w = Window.partitionBy("season", "position").orderBy(c("mean").desc(), "player_id")
-    x = _pool(spark, d).withColumn("lead", F.first("mean").over(w)).withColumn("n", F.row_number().over(w))
+    x = D.top_k(_pool(spark, d), ["season", "position"], [c("mean").desc(), c("player_id")], 3).withColumnRenamed("place", "n")
+    x = x.withColumn("lead", F.max(F.when(c("n") == 1, c("mean"))).over(Window.partitionBy("season", "position")))
     return x.where((c("n") <= 3) & ((c("n") == 1) | (c("lead") - c("mean") <= F.greatest(F.lit(8.0), c("lead") * 0.08)))).select("season", "position", "player_id", "n")
 
 

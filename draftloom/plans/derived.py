@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from draftloom.functions import scalars as S
+from draftloom.operators import ranks
 from draftloom.operators import resample as B
 from draftloom.plans.temporal import _SEASONS, _seasons
 from draftloom.session import read
@@ -60,7 +61,7 @@ def implied_points(spark: SparkSession, d: str) -> DataFrame:
 def regressed_edge(spark: SparkSession, d: str) -> DataFrame:
     """An edge over the group's median, shrunk to a fifth by reliability and capped at 12."""
     p = read(spark, d, "part")
-    base = p.groupBy("p_type").agg(F.median("p_retailprice").alias("base"))
+    base = ranks.quantiles(p, ["p_type"], "p_retailprice", [0.5]).select("p_type", c("q")[0].alias("base"))
     reliability = S.clamp(1 - c("p_size") / 50.0 * 0.75, 0.5, 1.0)
     edge = F.greatest(F.lit(0.0), c("p_retailprice") - c("base"))
     return p.join(base, "p_type").select("p_partkey", R(c("base") + F.least(F.lit(12.0), edge * 0.2 * reliability)).alias("value"))
@@ -69,7 +70,7 @@ def regressed_edge(spark: SparkSession, d: str) -> DataFrame:
 def range_and_risk(spark: SparkSession, d: str) -> DataFrame:
     """Floor and ceiling from a position's residual quantiles, and the risk their width implies."""
     x = read(spark, d, "player_weeks").where("projected is not null and not isnan(projected) and fantasy_points is not null and not isnan(fantasy_points) and abs(fantasy_points) < 100 and position is not null")
-    q = x.groupBy(F.upper("position").alias("pos")).agg(F.percentile(c("fantasy_points") - c("projected"), [0.1, 0.9]).alias("q"))
+    q = ranks.quantiles(x.select(F.upper("position").alias("pos"), (c("fantasy_points") - c("projected")).alias("r")), ["pos"], "r", [0.1, 0.9]).drop("n")
     y = x.join(q, F.upper("position") == c("pos")).withColumn("low", F.greatest(F.lit(0.0), c("projected") + c("q")[0])).withColumn("high", F.least(c("projected") * 3 + 10, c("projected") + c("q")[1]))
     return y.select("week_row_id", R("low").alias("low"), R("high").alias("high"), R(S.clamp((c("high") - c("low")) / (2 * F.greatest(F.lit(0.1), c("projected"))), 0.05, 0.95)).alias("risk"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from draftloom.functions import grids as G
 from draftloom.functions import scalars as S
+from draftloom.operators import ranks
 from draftloom.operators import resample as B
 from draftloom.plans.statistics import _ROWS, _rows
 from draftloom.plans.temporal import _SEASONS, _seasons
@@ -127,11 +128,11 @@ def synthetic_leagues(spark: SparkSession, d: str) -> DataFrame:
 
 def residual_season_sim(spark: SparkSession, d: str) -> DataFrame:
     """Season totals of 1,000 keyed draws of 17 weekly residual quantiles per type."""
-    q = _rows(spark, d).groupBy("p_type").agg(F.percentile(c("l_extendedprice") - c("actual"), PS).alias("q")).withColumn("h", S.fnv1a(F.translate(F.upper("p_type"), " ", "_")))
+    q = ranks.quantiles(_rows(spark, d).withColumn("r", c("l_extendedprice") - c("actual")), ["p_type"], "r", PS).withColumn("h", S.fnv1a(F.translate(F.upper("p_type"), " ", "_")))
     x = q.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(999)))).withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(17))))
     v = S.let(B.uniform(23, c("draw"), [c("h"), c("week").cast("long")]), lambda u: G.quantile_at(PS, c("q"), u))
     total = x.groupBy("p_type", "draw").agg(F.sum(v).alias("t"))
-    return total.groupBy("p_type").agg(F.percentile("t", [0.1, 0.5, 0.9]).alias("q")).select("p_type", *[R(c("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    return ranks.quantiles(total, ["p_type"], "t", [0.1, 0.5, 0.9]).select("p_type", *[R(c("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
 def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +179,7 @@ def share_allocate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def residual_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = _rows(spark, d).groupBy("p_type").agg(F.percentile(c("actual") - c("l_extendedprice"), [0.1, 0.9]).alias("q"))
+    q = ranks.quantiles(_rows(spark, d).withColumn("r", c("actual") - c("l_extendedprice")), ["p_type"], "r", [0.1, 0.9]).drop("n")
     p = read(spark, d, "part").join(q, "p_type")
     return p.select("p_partkey", *[R(F.greatest(F.lit(0.0), c("p_retailprice") * 20 + c("q")[i]), 8).alias(n) for i, n in enumerate(("p10", "p90"))])
 
@@ -186,8 +187,8 @@ def residual_quantiles(spark: SparkSession, d: str) -> DataFrame:
 def conformal_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Signed residual intervals of a brand and size, or of the brand where fewer than 40 rows stand behind it."""
     x = read(spark, d, "lineitem").join(read(spark, d, "part"), c("l_partkey") == c("p_partkey")).select("p_brand", "p_size", (-c("l_extendedprice") * c("l_discount")).alias("r"))
-    fine = x.groupBy("p_brand", "p_size").agg(F.percentile("r", 0.9).alias("fine"), F.count(F.lit(1)).alias("n"))
-    coarse = x.groupBy("p_brand").agg(F.percentile("r", 0.9).alias("coarse"))
+    fine = ranks.quantiles(x, ["p_brand", "p_size"], "r", [0.9]).select("p_brand", "p_size", c("q")[0].alias("fine"), "n")
+    coarse = ranks.quantiles(x, ["p_brand"], "r", [0.9]).select("p_brand", c("q")[0].alias("coarse"))
     return fine.join(coarse, "p_brand").select("p_brand", "p_size", "n", R(F.when(c("n") >= 40, c("fine")).otherwise(c("coarse")), 8).alias("bound"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftloom.functions import scalars as S
-from draftloom.operators import stats
+from draftloom.operators import ranks, stats
 from draftloom.session import read
 
 c = F.col
@@ -20,28 +20,27 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantile_linear(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("l_extendedprice", [0.1, 0.25, 0.5, 0.9])
-    return _rows(spark, d).groupBy("p_type").agg(q.alias("q")).select("p_type", *[R(c("q")[i]).alias(n) for i, n in enumerate(("q10", "q25", "q50", "q90"))])
+    return ranks.quantiles(_rows(spark, d), ["p_type"], "l_extendedprice", [0.1, 0.25, 0.5, 0.9]).select("p_type", *[R(c("q")[i]).alias(n) for i, n in enumerate(("q10", "q25", "q50", "q90"))])
 
 
 def quantile_floor(spark: SparkSession, d: str) -> DataFrame:
-    return stats.quantile_floor(_rows(spark, d), ["p_type"], "l_extendedprice", "k", 0.9)
+    return stats.quantile_floor(_rows(spark, d), ["p_type"], "l_extendedprice", 0.9)
 
 
 def quantile_floor_n(spark: SparkSession, d: str) -> DataFrame:
-    return stats.quantile_floor_n(_rows(spark, d), ["p_type"], "l_extendedprice", "k", 0.9)
+    return stats.quantile_floor_n(_rows(spark, d), ["p_type"], "l_extendedprice", 0.9)
 
 
 def quantile_higher(spark: SparkSession, d: str) -> DataFrame:
-    return stats.quantile_higher(_rows(spark, d), ["p_type"], "l_extendedprice", "k", 0.8)
+    return stats.quantile_higher(_rows(spark, d), ["p_type"], "l_extendedprice", 0.8)
 
 
 def quantile_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return stats.quantile_nearest(_rows(spark, d), ["p_type"], "l_extendedprice", "k", 0.95)
+    return stats.quantile_nearest(_rows(spark, d), ["p_type"], "l_extendedprice", 0.95)
 
 
 def quantile_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return stats.quantile_weighted(_rows(spark, d), ["p_type"], "l_extendedprice", "l_quantity", "k", 0.5)
+    return stats.quantile_weighted(_rows(spark, d), ["p_type"], "l_extendedprice", "l_quantity", 0.5)
 
 
 def spearman_by_group(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +83,8 @@ def wilson_lower(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_quantiles(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
-    q = rows.groupBy("p_type").agg(F.percentile("l_extendedprice", [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]).alias("q"))
-    return rows.join(q, "p_type")
+    q = ranks.quantiles(rows, ["p_type"], "l_extendedprice", [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95])
+    return rows.join(q.drop("n"), "p_type")
 
 
 def pinball_wis_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +106,7 @@ def _closeness(spark: SparkSession, d: str, deviation) -> DataFrame:  # noqa: AN
     rows = _rows(spark, d)
     sd = rows.groupBy("p_type").agg(deviation("l_extendedprice").alias("sd"))
     z = rows.join(sd, "p_type").withColumn("z", F.abs(c("l_extendedprice") - c("actual")) / c("sd"))
-    return z.groupBy("p_type").agg(F.percentile("z", [0.5, 0.9]).alias("q"), F.count(F.lit(1)).alias("n")).select("p_type", "n", R(c("q")[0], 7).alias("median"), R(c("q")[1], 7).alias("p90"))
+    return ranks.quantiles(z, ["p_type"], "z", [0.5, 0.9]).select("p_type", "n", R(c("q")[0], 7).alias("median"), R(c("q")[1], 7).alias("p90"))
 
 
 def standardized_closeness_pop(spark: SparkSession, d: str) -> DataFrame:
@@ -156,12 +155,12 @@ def min_max_scale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def average_tie_rank(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", R(stats.average_rank(["p_type"], "p_retailprice"), 3).alias("rank"))
+    return stats.average_rank(read(spark, d, "part"), ["p_type"], "p_retailprice").select("p_partkey", R("rank", 3).alias("rank"))
 
 
 def tertile_tier(spark: SparkSession, d: str) -> DataFrame:
     part = read(spark, d, "part")
-    cut = part.groupBy("p_type").agg(F.percentile("p_retailprice", [1 / 3, 2 / 3]).alias("q"))
+    cut = ranks.quantiles(part, ["p_type"], "p_retailprice", [1 / 3, 2 / 3])
     return part.join(cut, "p_type").select("p_partkey", F.when(c("p_retailprice") <= c("q")[0], "low").when(c("p_retailprice") <= c("q")[1], "middle").otherwise("high").alias("tier"))
 
 
