@@ -44,14 +44,13 @@ def average_rank(rows: DataFrame, group: list[str], value: str, name: str = "ran
 
 def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per group. Equal pairs of values are counted first, so ties do not grow the work."""
-    pairs = rows.groupBy(*group, x, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    r = pairs.join(ranks.average_ranks(rows, group, x, "rx"), [*group, x]).join(ranks.average_ranks(rows, group, y, "ry"), [*group, y])
-    total, mean = F.sum("w"), lambda v: F.sum(c("w") * v) / F.sum("w")
-    m = r.groupBy(*group).agg(total.alias("n"), mean(c("rx")).alias("mx"), mean(c("ry")).alias("my"))
-    d = r.join(m, group)
-    a, b = c("rx") - c("mx"), c("ry") - c("my")
-    s = d.groupBy(*group, "n").agg(F.sum(c("w") * a * b).alias("ab"), F.sum(c("w") * a * a).alias("aa"), F.sum(c("w") * b * b).alias("bb"))
-    return s.select(*group, (c("ab") / F.sqrt(F.nullif(c("aa") * c("bb"), F.lit(0.0)))).alias("spearman"), c("n").cast("long").alias("n"))
+    w = c("__w")
+    pairs = rows.groupBy(*group, x, y).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+    r = pairs.join(ranks.average_ranks(rows, group, x, "__rx"), [*group, x]).join(ranks.average_ranks(rows, group, y, "__ry"), [*group, y])
+    m = r.groupBy(*group).agg(F.sum(w).alias("n"), (F.sum(w * c("__rx")) / F.sum(w)).alias("__mx"), (F.sum(w * c("__ry")) / F.sum(w)).alias("__my"))
+    a, b = c("__rx") - c("__mx"), c("__ry") - c("__my")
+    s = r.join(m, group).groupBy(*group, "n").agg(F.sum(w * a * b).alias("__ab"), F.sum(w * a * a).alias("__aa"), F.sum(w * b * b).alias("__bb"))
+    return s.select(*group, (c("__ab") / F.sqrt(F.nullif(c("__aa") * c("__bb"), F.lit(0.0)))).alias("spearman"), c("n").cast("long").alias("n"))
 
 
 def errors(rows: DataFrame, group: list[str], predicted: Column, actual: Column) -> DataFrame:
