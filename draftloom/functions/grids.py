@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from draftloom.functions.scalars import let
+from draftloom.functions.scalars import let, normal_cdf_tail
 
 
 def running_max(values: Column) -> Column:
@@ -24,7 +24,7 @@ def isotonic(values: Column) -> Column:
         mean = lambda j, k: (F.element_at(total, k + 1) - F.element_at(total, j)) / (k - j + 1)
         return F.transform(at, lambda i: F.array_max(F.transform(F.sequence(F.lit(1), i), lambda j: F.array_min(F.transform(F.sequence(i, n), lambda k: mean(j, k))))))
 
-    return let(sums, repaired)
+    return F.when(values.isNotNull(), let(sums, repaired))
 
 
 def trapezoid_mean(ps: list[float], values: Column) -> Column:
@@ -64,7 +64,47 @@ def with_tails(ps: list[float], values: Column, low: float, high: float, growth:
     return grid, F.array(*out)
 
 
-def recenter(values: Column, mean: Column, target: Column, low: float) -> Column:
-    """Values moved to a new mean: scaled toward the lower bound when it falls, shifted when it rises."""
-    factor = (target - low) / F.nullif(mean - low, F.lit(0.0))
-    return F.when(target <= mean, F.transform(values, lambda v: F.coalesce(low + (v - low) * factor, target))).otherwise(F.transform(values, lambda v: v + (target - mean)))
+def recenter(values: Column, mean: Column, target: Column, low: float, high: float = float("inf")) -> Column:
+    """Values moved to a new mean: scaled toward the lower bound when it falls, toward a finite upper bound when it rises,
+    else shifted. Null where the target lies beyond the bounds."""
+    down = F.transform(values, lambda v: F.coalesce(low + (v - low) * ((target - low) / F.nullif(mean - low, F.lit(0.0))), target))
+    shift = F.transform(values, lambda v: v + (target - mean))
+    up = F.transform(values, lambda v: F.coalesce(high - (high - v) * ((high - target) / F.nullif(high - mean, F.lit(0.0))), target)) if high < float("inf") else shift
+    falls = target <= mean if low > float("-inf") else F.lit(False)
+    return F.when((target < low) | (target > high), None).when(F.abs(mean - target) <= 1e-12, values).when(falls, down).when(target >= mean, up).otherwise(shift)
+
+
+def clamped(values: Column, low: float, high: float) -> Column:
+    return F.transform(values, lambda v: F.least(F.greatest(v, F.lit(low)), F.lit(high)))
+
+
+def normalized(ps: list[float], values: Column, target: Column, low: float = float("-inf"), high: float = float("inf"), growth: float = 3.0) -> tuple[list[float], Column]:
+    """A usable grid from any: bounded, monotone, with tails, moved to the target mean (null: left where it is)."""
+    grid, _ = with_tails(ps, values, low, high, growth)
+    tailed = let(isotonic(clamped(values, low, high)), lambda v: with_tails(ps, v, low, high, growth)[1])
+
+    def moved(v: Column) -> Column:
+        return F.when(target.isNull(), v).otherwise(recenter(v, trapezoid_mean(grid, v), target, low, high))
+
+    return grid, clamped(let(let(tailed, moved), isotonic), low, high)
+
+
+def sampled(ps: list[float], values: Column, uniform: Column, normal: Column) -> Column:
+    """The value for exactly one of a uniform and a normal draw; null for both or neither, or a uniform beyond 0 to 1."""
+    one = uniform.isNull() != normal.isNull()
+    p = F.coalesce(uniform, normal_cdf_tail(normal))
+    return F.when(one & p.between(0.0, 1.0), quantile_at(ps, values, p))
+
+
+def zero_inflated(ps: list[float], values: Column, mass: Column, p: Column) -> Column:
+    """The quantile of a grid with a point mass at nought: nought up to the mass, the rest of the grid above it."""
+    return F.when(p <= mass, 0.0).otherwise(quantile_at(ps, values, (p - mass) / F.nullif(1 - mass, F.lit(0.0))))
+
+
+def summary_errors(floor: Column, mean: Column, ceiling: Column) -> Column:
+    """What is wrong with a three-point summary, as an array of texts."""
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    named = (("floor", floor), ("mean", mean), ("ceiling", ceiling))
+    wrong = [F.when(~number(x), f"{k} must be a finite number") for k, x in named]
+    ordered = number(floor) & number(mean) & number(ceiling) & ((floor > mean) | (mean > ceiling))
+    return F.array_compact(F.array(*wrong, F.when(ordered, "floor, mean and ceiling must be in order")))
