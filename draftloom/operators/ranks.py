@@ -26,7 +26,8 @@ def cumulative(rows: DataFrame, group: list[str], order: list[Column], sums: dic
     # written, so that a slice is the same one for its totals and for its places
     cut = stage(cut, "slices")
     totals = cut.groupBy(*keys).agg(*[F.sum(f"__{k}").alias(k) for k in sums])
-    of = Window.partitionBy(*group)
+    # one row per group and slice; without a group as many as there are slices
+    of = Window.partitionBy(*(group or [F.lit(0)]))
     earlier = of.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[c(k).alias(f"__on_{k}") for k in keys], *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"__before_{k}") for k in sums], *[F.sum(k).over(of).alias(f"{k}_all") for k in sums])
     here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -53,10 +53,11 @@ def _target() -> Column:
 
 
 def grid_normalized(spark: SparkSession, d: str) -> DataFrame:
-    """Crossing grids made usable: bounded, monotone, with tails, moved to a target mean; nothing for impossible targets."""
+    """Crossing grids made usable: bounded, monotone, with tails, moved to a target mean, as shares of the upper
+    bound; nothing for impossible targets."""
     ps, values = G.normalized(PS, c("x"), c("t"), LOW, HIGH)
     out = _grid(spark, d).withColumn("t", _target()).withColumn("v", values).where("v is not null")
-    return out.select("l_partkey", F.posexplode("v").alias("i", "value")).select("l_partkey", "i", R("value", 8).alias("value"))
+    return out.select("l_partkey", F.posexplode("v").alias("i", "value")).select("l_partkey", "i", R(c("value") / HIGH, 8).alias("value"))
 
 
 def grid_normalized_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +172,7 @@ ORACLE = {
       CASE WHEN probabilities IS NULL OR len(probabilities) < 2 THEN 'at least two quantiles are required' END, CASE WHEN len(list_filter(probabilities, lambda p: p IS NULL OR isnan(p))) > 0 THEN 'not a number' END, CASE WHEN len(list_filter(probabilities, lambda p: p < 0 OR p > 1)) > 0 THEN 'probability out of range' END,
       CASE WHEN len(list_filter(range(2, len(probabilities) + 1), lambda i: NOT probabilities[i] > probabilities[i - 1])) > 0 THEN 'not strictly increasing' END, CASE WHEN len(probabilities) <> {len(PS)} THEN 'not the fixed number of points' END) AS errors FROM distribution_grids""",
     "grid_value_errors": f"WITH {_GRID} SELECT l_partkey, CAST(len(list_filter(range(2, 14), lambda i: x[i] < x[i - 1])) AS INTEGER) AS falls, ({_trap(PS, 'q')}) * 1.3::DOUBLE < x[1] OR ({_trap(PS, 'q')}) * 1.3::DOUBLE > x[13] AS mean_outside FROM x",
-    "grid_normalized": f"WITH {_GT}, {_NORM} SELECT l_partkey, CAST(i - 1 AS INTEGER) AS i, round(v[i], 8) AS value FROM n6, range(1, 16) t(i) WHERE v IS NOT NULL",
+    "grid_normalized": f"WITH {_GT}, {_NORM} SELECT l_partkey, CAST(i - 1 AS INTEGER) AS i, round(v[i] / {HIGH}::DOUBLE, 8) AS value FROM n6, range(1, 16) t(i) WHERE v IS NOT NULL",
     "grid_normalized_mean": f"WITH {_GT}, {_NORM} SELECT l_partkey, round(t, 8) AS target, round(CASE WHEN v IS NOT NULL THEN {_trap(_NGRID, 'v')} END, 8) AS mean FROM n6",
     "grid_sample": f"""WITH {_GRID}, a AS (SELECT l_partkey, q, CASE WHEN l_partkey % 5 IN (0, 3) THEN (l_partkey % 89) / 88.0::DOUBLE END AS u, CASE WHEN l_partkey % 5 IN (1, 2, 3) THEN (l_partkey % 61 - 30) / 10.0::DOUBLE END AS z FROM g), b AS (SELECT *, 1 / (1 + abs(z) * 0.2316419::DOUBLE) AS k FROM a), e AS (SELECT *, {_UP} AS up FROM b),
       p AS (SELECT l_partkey, q, (u IS NULL) <> (z IS NULL) AS one, coalesce(u, {_CDF}) AS p FROM e) SELECT l_partkey, round(CASE WHEN one AND p BETWEEN 0 AND 1 THEN {_at(PS, 'q', 'p')} END, 5) AS value FROM p""",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from draftloom.operators.ranks import cumulative
+
 
 def read_csv_union(spark: SparkSession, paths: list[str], required: list[str], schema: str | None = None) -> DataFrame:
     """CSV files (plain or gzip) with headers as one table by column name; a file without a required column is an error."""
@@ -21,6 +23,68 @@ def read_csv_union(spark: SparkSession, paths: list[str], required: list[str], s
     return out
 
 
+def read_seasons(spark: SparkSession, pattern: str, schema: str, required: list[str], least: int = 5) -> DataFrame:
+    """Season files of a glob as one table; too few files, or one without a required column, is an error.
+
+    Headers are looked at file by file, so that a column may stand elsewhere or be missing in some.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    paths = sorted(f.getPath().toString() for f in found)
+    if len(paths) < least:
+        raise ValueError(f"{pattern} has {len(paths)} files, at least {least} are needed")
+    x = read_csv_union(spark, paths, required)
+    kinds = [f.strip().split(" ") for f in schema.split(",")]
+    return x.select(*[(F.col(n).try_cast(k) if n in x.columns else F.lit(None).cast(k)).alias(n) for n, k in kinds])
+
+
+def read_depth_charts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(player_id, team, rank, at): depth charts of two schemas, told apart by the columns a file has.
+
+    The older one has gsis_id, club_code, depth_team and week, the newer gsis_id, team, pos_rank and dt. Anything else
+    is an error.
+    """
+    c = F.col
+    old, new = {"gsis_id", "week", "depth_team", "club_code"}, {"gsis_id", "dt", "pos_rank", "team"}
+    parts: dict[str, list[str]] = {"old": [], "new": []}
+    for path in paths:
+        have = set(spark.read.option("header", True).csv(path).columns)
+        kind = "new" if new <= have else "old" if old <= have else None
+        if kind is None:
+            raise ValueError(f"{path} is no depth chart of a known schema")
+        parts[kind].append(path)
+    out = spark.createDataFrame([], "player_id string, team string, rank int, at string")
+    if parts["old"]:
+        x = read_csv_union(spark, parts["old"], sorted(old))
+        out = out.unionByName(x.select(c("gsis_id").alias("player_id"), c("club_code").alias("team"), c("depth_team").try_cast("int").alias("rank"), F.lpad("week", 2, "0").alias("at")))
+    if parts["new"]:
+        x = read_csv_union(spark, parts["new"], sorted(new))
+        out = out.unionByName(x.select(c("gsis_id").alias("player_id"), "team", c("pos_rank").try_cast("int").alias("rank"), c("dt").alias("at")))
+    return out
+
+
+def write_manifest(df: DataFrame, path: str) -> tuple[str, int]:
+    """A feed with what proves it whole: (digest, rows) to go into its manifest. The digest does not depend on row order."""
+    df.write.parquet(path)
+    return feed_digest(df.sparkSession.read.parquet(path))
+
+
+def feed_digest(df: DataFrame) -> tuple[str, int]:
+    each = df.select(F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])), 256).alias("d"))
+    parts = [F.sum(F.conv(F.substring("d", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"s{i}") for i in range(4)]
+    row = each.agg(*parts, F.count(F.lit(1)).alias("n")).first()
+    return hashlib.sha256("|".join(str(row[f"s{i}"]) for i in range(4)).encode()).hexdigest(), row["n"]
+
+
+def read_verified(spark: SparkSession, path: str, digest: str, rows: int) -> DataFrame:
+    """A published feed, if it is what its manifest says; an error if not."""
+    df = spark.read.parquet(path)
+    if feed_digest(df) != (digest, rows):
+        raise ValueError(f"{path} is not what its manifest says")
+    return df
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a declared schema: nothing is inferred, a line that does not parse is null in every field."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
@@ -83,9 +147,8 @@ def write_once(df: DataFrame, root: str, name: str) -> str:
 
 def prune(files: DataFrame, series: str, at: list[Column], size: str, most_per_series: int, most_bytes: int) -> DataFrame:
     """Which files retention keeps: the newest of each series, and of those the newest that fit into the space."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(series).orderBy(*at))
-    kept = files.withColumn("place", place).withColumn("eligible", F.col("place") <= most_per_series)
-    run = F.sum(F.when(F.col("eligible"), F.col(size)).otherwise(0)).over(Window.partitionBy("eligible").orderBy(*at).rowsBetween(Window.unboundedPreceding, 0))
-    return kept.withColumn("keep", F.col("eligible") & (run <= most_bytes)).drop("place", "eligible")
+    kept = files.withColumn("__fits", place <= most_per_series)
+    # bytes so far over all files in order, by slices, so that no task sees them all
+    run = cumulative(kept, [], at, {"__bytes": F.when(F.col("__fits"), F.col(size)).otherwise(0)})
+    return run.withColumn("keep", F.col("__fits") & (F.col("__bytes_upto") <= most_bytes)).select(*files.columns, "keep")
