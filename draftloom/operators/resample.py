@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftloom.functions import scalars as S
@@ -20,22 +22,32 @@ def normal(seed: int, scenario: Column, parts: list[Column]) -> Column:
     return S.let(S.keyed_base(seed, scenario, parts), lambda h: S.box_muller(*[S.finish(S.mix(h, F.lit(e).cast("long"))) for e in ends]))
 
 
+# fixed values: the distribution function of a Poisson number of mean 1 at 0, 1, 2, ...
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+
+
+def poisson_weight(u: Column) -> Column:
+    """A Poisson number of mean 1 from a uniform one: how often a draw takes a cluster."""
+    return sum(((u > x).cast("int") for x in POISSON), F.lit(0))
+
+
 def bootstrap(clusters: DataFrame, group: list[str], draws: int, seed: int, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """(group, mean, low, high): cluster bootstrap of a ratio of sums.
+    """(group, mean, low, high): cluster bootstrap of a ratio of sums, every draw taking each cluster a Poisson number of
+    times.
 
-    ``clusters``: one row per group and cluster with i (from 0), total and size: rows are aggregated to clusters before
-    they are drawn, so a draw costs as many rows as there are clusters.
+    ``clusters``: see ``clustered``. Weights are keyed by draw and cluster, so a draw needs no numbering of clusters and
+    no join back to them: one pass that adds up draws x groups sums before anything moves.
     """
-    n = clusters.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    slots = clusters.select(*group, c("i").alias("slot")).join(n, group)
-    picked = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("i", F.floor(uniform(seed, c("draw"), [c("slot").cast("long")]) * c("n")).cast("long"))
-    each = picked.join(clusters, [*group, "i"]).groupBy(*group, "draw").agg((F.sum("total") / F.sum("size")).alias("m"))
+    each = clusters.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson_weight(uniform(seed, c("draw"), [c("h")])))
+    each = each.groupBy(*group, "draw").agg(F.try_divide(F.sum(c("total") * c("w")), F.sum(c("size") * c("w"))).alias("m"))
+    # as many values a group as there are draws
     return each.groupBy(*group).agg(F.avg("m").alias("mean"), F.percentile("m", [low, high]).alias("q")).select(*group, "mean", c("q")[0].alias("low"), c("q")[1].alias("high"))
 
 
-def numbered_clusters(rows: DataFrame, group: list[str], cluster: str, value: Column) -> DataFrame:
-    agg = rows.groupBy(*group, cluster).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("size"))
-    return agg.withColumn("i", (F.row_number().over(Window.partitionBy(*group).orderBy(cluster)) - 1).cast("long"))
+def clustered(rows: DataFrame, group: list[str], cluster: Column, value: Column) -> DataFrame:
+    """(group, h, total, size): rows added up by cluster, h its hash."""
+    agg = rows.groupBy(*group, cluster.cast("string").alias("__cluster")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("size"))
+    return agg.withColumn("h", S.fnv1a(c("__cluster"))).drop("__cluster")
 
 
 def budget(rows: DataFrame, group: list[str], value: str, target: Column, low: float, high: float) -> DataFrame:
@@ -48,12 +60,12 @@ def budget(rows: DataFrame, group: list[str], value: str, target: Column, low: f
 def simplex_search(rows: DataFrame, group: list[str], predictions: list[str], actual: str, steps: int = 20, pull: float = 0.01) -> DataFrame:
     """Per group the weights on the simplex (in 1/steps) with the least mean absolute error plus a pull to equal weights.
 
-    The grid is of fixed size, so each row is expanded into an array of losses, not joined.
+    The grid is of fixed size: one average a step, all in one pass that moves a row of sums per group and task.
     """
     k = len(predictions)
     grid = [(i / steps, j / steps, (steps - i - j) / steps) for i in range(steps + 1) for j in range(steps + 1 - i)]
-    losses = F.array(*[F.abs(sum((c(p) * w for p, w in zip(predictions, ws)), F.lit(0.0)) - c(actual)) for ws in grid])
-    each = rows.select(*group, F.posexplode(losses).alias("g", "loss")).groupBy(*group, "g").agg(F.avg("loss").alias("mae"))
+    losses = [F.avg(F.abs(sum((c(p) * w for p, w in zip(predictions, ws)), F.lit(0.0)) - c(actual))).alias(f"g{i}") for i, ws in enumerate(grid)]
+    each = rows.groupBy(*group).agg(*losses).select(*group, F.posexplode(F.array(*[c(f"g{i}") for i in range(len(grid))])).alias("g", "mae"))
     extra = F.element_at(F.array(*[F.lit(pull * sum((w - 1 / k) ** 2 for w in ws)) for ws in grid]), c("g") + 1)
     best = each.withColumn("score", F.round(c("mae") + extra, 9)).groupBy(*group).agg(F.min_by(F.struct("g", "mae"), F.struct("score", "g")).alias("b"))
     ws = [F.element_at(F.array(*[F.lit(x[i]) for x in grid]), c("b.g") + 1).alias(f"w{i}") for i in range(k)]

@@ -9,7 +9,7 @@ from draftloom.functions import scalars as S
 from draftloom.operators import ranks
 from draftloom.operators import resample as B
 from draftloom.plans.temporal import _SEASONS, _seasons
-from draftloom.session import read
+from draftloom.session import read, stage
 
 c = F.col
 R = lambda x, n=6: F.round(x, n)
@@ -114,15 +114,19 @@ def three_way_left(spark: SparkSession, d: str) -> DataFrame:
 def adp_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     """How many listings of a source lie within max(4, a quarter) of each listing's market position.
 
-    The band is met through buckets of its own width, so no listing meets all others.
+    Bands are counted by places, not by pairs: how many listings stand up to the band's upper end and before its lower
+    one, and who stands there. The band is closed, within rounding.
     """
     adp = F.when(~F.isnan("adp") & (c("adp") > 0), c("adp"))
     x = read(spark, d, "source_listings").select("listing_id", "source_id", adp.alias("a")).where("a is not null").withColumn("band", F.greatest(F.lit(4.0), c("a") * 0.25))
-    width = 16.0
-    left = x.withColumn("bucket", F.explode(F.sequence(F.floor((c("a") - c("band")) / width), F.floor((c("a") + c("band")) / width))))
-    right = x.select("source_id", c("a").alias("b"), c("listing_id").alias("other"), F.floor(c("a") / width).alias("bucket"))
-    near = left.join(right, ["source_id", "bucket"]).where(F.abs(c("a") - c("b")) <= c("band"))
-    return near.groupBy("listing_id").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("nearest_low"), F.max("b").alias("nearest_high"))
+    # at one value: lower ends before listings before upper ends
+    points = F.array(*[F.struct(v.alias("v"), F.lit(k).alias("kind"), F.lit(w).alias("w")) for v, k, w in ((c("a") - c("band") - 1e-9, 0, 0), (c("a"), 1, 1), (c("a") + c("band") + 1e-9, 2, 0))])
+    every = x.select("listing_id", "source_id", F.explode(points).alias("p")).select("listing_id", "source_id", "p.*")
+    run = stage(ranks.cumulative(every, ["source_id"], [c("v"), c("kind"), c("listing_id")], {"n": c("w")}), "bands")
+    ends = run.groupBy("listing_id", "source_id").agg(F.max(F.when(c("kind") == 0, c("n_upto"))).alias("before"), F.max(F.when(c("kind") == 2, c("n_upto"))).alias("upto"))
+    place = run.where("kind = 1").select("source_id", c("n_upto").alias("place"), c("v").alias("b"))
+    low = ends.join(place, (ends["source_id"] == place["source_id"]) & (c("place") == c("before") + 1)).select("listing_id", ends["source_id"].alias("s"), (c("upto") - c("before")).alias("n"), "upto", c("b").alias("nearest_low"))
+    return low.join(place, (c("s") == c("source_id")) & (c("place") == c("upto"))).select("listing_id", "n", "nearest_low", c("b").alias("nearest_high"))
 
 
 def position_competition(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +226,7 @@ ORACLE = {
     "three_way_left": f"""WITH {_SEASONS}, l AS (SELECT listing_id, {_KEY} AS nk FROM source_listings), p AS (SELECT {_KEY} AS nk, min(player_id) AS player_id FROM players WHERE name IS NOT NULL GROUP BY 1), t AS (SELECT player_id, max(season) AS last_season, CAST(sum(games) AS BIGINT) AS games FROM s GROUP BY 1)
       SELECT listing_id, p.player_id, last_season, games FROM l LEFT JOIN p ON l.nk = p.nk LEFT JOIN t ON t.player_id = p.player_id""",
     "adp_neighbourhood": """WITH x AS (SELECT listing_id, source_id, adp AS a FROM source_listings WHERE adp IS NOT NULL AND NOT isnan(adp) AND adp > 0)
-      SELECT x.listing_id, count(*) AS n, min(y.a) AS nearest_low, max(y.a) AS nearest_high FROM x JOIN x y ON x.source_id = y.source_id AND abs(x.a - y.a) <= greatest(4, x.a * 0.25::DOUBLE) GROUP BY 1""",
+      SELECT x.listing_id, count(*) AS n, min(y.a) AS nearest_low, max(y.a) AS nearest_high FROM x JOIN x y ON x.source_id = y.source_id AND abs(x.a - y.a) <= greatest(4, x.a * 0.25::DOUBLE) + 1e-9::DOUBLE GROUP BY 1""",
     "position_competition": "SELECT team, season, position, count(*) FILTER (depth_rank <= 3) AS rivals, count(DISTINCT player_id) AS players, max(experience) AS oldest FROM player_examples WHERE team IS NOT NULL GROUP BY 1, 2, 3",
     "wide_summary": "SELECT season, position, count(*) AS n, round(avg(games), 6) AS mean_games, round(median(games), 6) AS median_games, count(DISTINCT player_id) AS players, max(version_no) AS versions, arg_min(player_id, {'a': recorded_at, 'b': stat_row_id}) AS first_player FROM player_seasons GROUP BY 1, 2",
     "opponent_allowed_prior": f"""WITH w AS (SELECT * FROM player_weeks WHERE {_PTS} AND team IS NOT NULL AND opponent_team IS NOT NULL), a AS (SELECT opponent_team AS opponent, season + 1 AS season, avg(fantasy_points) AS allowed FROM w GROUP BY 1, 2), g AS (SELECT DISTINCT team, opponent_team AS opponent, season, week FROM w)

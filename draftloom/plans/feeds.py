@@ -61,9 +61,10 @@ def csv_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Part prices rendered as HTML tables, one per brand, and scraped again."""
+    """Part prices rendered as HTML pages of up to a hundred rows, and scraped again."""
     cell = F.concat(F.lit("<tr><td>"), c("p_partkey").cast("string"), F.lit("</td><td><b>"), c("p_brand"), F.lit("</b></td></tr>"))
-    pages = read(spark, d, "part").groupBy("p_brand").agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list(cell)), "\n"), F.lit("</table>")).alias("html"))
+    page = F.floor(c("p_partkey") / 100)
+    pages = read(spark, d, "part").groupBy("p_brand", page.alias("page")).agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list(cell)), "\n"), F.lit("</table>")).alias("html"))
     return pages.select(F.explode(readers.html_cells(c("html"))).alias("r")).select(c("r")[0].cast("long").alias("p_partkey"), c("r")[1].alias("brand"))
 
 

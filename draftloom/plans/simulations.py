@@ -137,7 +137,7 @@ def residual_season_sim(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
-    return B.bootstrap(B.numbered_clusters(rows, ["s_nationkey"], "s_suppkey", c("s_acctbal")), ["s_nationkey"], 300, 29).select("s_nationkey", *[R(x, 7).alias(x) for x in ("mean", "low", "high")])
+    return B.bootstrap(B.clustered(rows, ["s_nationkey"], c("s_suppkey"), c("s_acctbal")), ["s_nationkey"], 300, 29).select("s_nationkey", *[R(x, 7).alias(x) for x in ("mean", "low", "high")])
 
 
 def _error_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -145,14 +145,14 @@ def _error_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return B.bootstrap(B.numbered_clusters(_error_rows(spark, d), ["l_returnflag"], "l_suppkey", c("e")), ["l_returnflag"], 300, 31).select("l_returnflag", *[R(x, 4).alias(x) for x in ("mean", "low", "high")])
+    return B.bootstrap(B.clustered(_error_rows(spark, d), ["l_returnflag"], c("l_suppkey"), c("e")), ["l_returnflag"], 300, 31).select("l_returnflag", *[R(x, 4).alias(x) for x in ("mean", "low", "high")])
 
 
 def dual_cluster(spark: SparkSession, d: str) -> DataFrame:
     """The wider of the intervals from two ways of clustering."""
     rows = _error_rows(spark, d).withColumn("team_season", F.concat_ws("-", c("l_suppkey").cast("string"), c("season").cast("string")))
-    a = B.bootstrap(B.numbered_clusters(rows, ["l_returnflag"], "l_suppkey", c("e")), ["l_returnflag"], 200, 37)
-    b = B.bootstrap(B.numbered_clusters(rows, ["l_returnflag"], "team_season", c("e")), ["l_returnflag"], 200, 41)
+    a = B.bootstrap(B.clustered(rows, ["l_returnflag"], c("l_suppkey"), c("e")), ["l_returnflag"], 200, 37)
+    b = B.bootstrap(B.clustered(rows, ["l_returnflag"], c("team_season"), c("e")), ["l_returnflag"], 200, 41)
     j = a.join(b.select("l_returnflag", c("low").alias("low2"), c("high").alias("high2")), "l_returnflag")
     return j.select("l_returnflag", R(F.least("low", "low2"), 4).alias("low"), R(F.greatest("high", "high2"), 4).alias("high"))
 
@@ -294,11 +294,11 @@ def _season_sql(leagues: int) -> str:
 
 def _boot_sql(group: str, src: str, draws: int, seed: int, pre: str = "") -> str:
     """``src``: (group, cluster, total, size) as a query."""
-    keys, last = _chain(seed, "draw", ["slot"], f"{pre}c", f"{pre}sl", f"{group}, draw, slot, n")
-    fin = _finish(f"{pre}f", last, f"{group}, draw, slot, n", "u")
-    return f"""{pre}cl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY {group}) AS n FROM ({src})),
-      {pre}sl AS (SELECT {group}, draw, i AS slot, n FROM {pre}cl, range({draws}) d(draw)), {keys}, {fin},
-      {pre}e AS (SELECT {group}, draw, sum(total) / sum(size) AS m FROM (SELECT {group}, draw, CAST(floor(u * n) AS BIGINT) AS i FROM {pre}ft) JOIN {pre}cl USING ({group}, i) GROUP BY 1, 2),
+    keys, last = _chain(seed, "draw", ["h0"], f"{pre}c", f"{pre}sl", f"{group}, draw, h0, total, size")
+    fin = _finish(f"{pre}f", last, f"{group}, draw, total, size", "u")
+    weight = " + ".join(f"CAST(u > {x!r}::DOUBLE AS INTEGER)" for x in B.POISSON)
+    return f"""{pre}cl AS MATERIALIZED (SELECT *, {_fnv('CAST(cluster AS VARCHAR)')} AS h0 FROM ({src})), {pre}sl AS (SELECT {group}, draw, h0, total, size FROM {pre}cl, range({draws}) d(draw)), {keys}, {fin},
+      {pre}e AS (SELECT {group}, draw, sum(total * w) / nullif(sum(size * w), 0) AS m FROM (SELECT {group}, draw, total, size, {weight} AS w FROM {pre}ft) GROUP BY 1, 2),
       {pre}o AS (SELECT {group}, avg(m) AS mean, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM {pre}e GROUP BY 1)"""
 
 
