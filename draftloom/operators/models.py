@@ -1,15 +1,16 @@
-"""Walk-forward models with pyspark.ml, and the sequential draft."""
+"""Walk-forward models with pyspark.ml, their offsets, and the block bootstrap."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftloom.operators import ranks
+
 c = F.col
 FOLDS_AT_ONCE = 4
 
@@ -61,33 +62,24 @@ def walk_forward(rows: DataFrame, season: str, label: str, features: list[str],
     return out
 
 
-def greedy_drafts(pool: pd.DataFrame, scenarios: DataFrame, teams: int, rounds: int, caps: dict[str, int], seed: int, noise: float) -> DataFrame:
-    """(scenario, pick_no, team, key): snake drafts of a prepared pool, one per scenario row, in blocks of scenarios.
+def nested_offset(predicted: DataFrame, season: str, label: str) -> DataFrame:
+    """``predicted`` with ``offset``, the median of label minus prediction over all earlier seasons, and ``adjusted``.
 
-    Sequential by nature: every pick takes the best player left whose position is still open for the team. Draws are
-    keyed by scenario and player, so any partitioning gives the same drafts. The pool is one league's players.
+    The predictions must be out of fold. A season without earlier labelled predictions has an offset of nought.
     """
-    keys, means, positions = pool["key"].to_numpy(), pool["mean"].to_numpy(float), pool["position"].to_numpy()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for scenario in batch["scenario"]:
-                draws = np.array([np.random.default_rng([seed, int(scenario), int(k)]).normal() for k in keys])
-                order = np.lexsort((keys, -(means + noise * draws)))
-                left, have = list(order), [dict.fromkeys(caps, 0) for _ in range(teams)]
-                for pick in range(1, teams * rounds + 1):
-                    r, w = divmod(pick - 1, teams)
-                    team = w if r % 2 == 0 else teams - 1 - w
-                    at = next((i for i, p in enumerate(left) if have[team].get(positions[p], 0) < caps.get(positions[p], 0)), None)
-                    if at is None:
-                        continue
-                    p = left.pop(at)
-                    have[team][positions[p]] += 1
-                    rows.append((int(scenario), pick, team, int(keys[p])))
-            yield pd.DataFrame(rows, columns=["scenario", "pick_no", "team", "key"])
-
-    return scenarios.mapInPandas(run, "scenario long, pick_no int, team int, key long")
+    known = predicted.where(c(label).isNotNull() & ~F.isnan(label) & c(season).isNotNull()).select(c(season).alias("__s"), (c(label) - c("prediction")).alias("__r"))
+    # a season's misses count for every later season: as many copies as there are seasons
+    seasons = F.broadcast(predicted.where(c(season).isNotNull()).select(c(season).alias("__for")).distinct())
+    median = ranks.quantiles(known.join(seasons, c("__s") < c("__for")), ["__for"], "__r", [0.5]).select("__for", c("q")[0].alias("offset"))
+    out = predicted.join(F.broadcast(median), c(season) == c("__for"), "left").drop("__for")
+    return out.withColumn("offset", F.coalesce("offset", F.lit(0.0))).withColumn("adjusted", c("prediction") + c("offset"))
+
+
+def check_leakage(rows: DataFrame, known_at: Column, target_at: Column) -> None:
+    """An error if any row's features were known only at or after what they are to forecast."""
+    late = rows.where(F.coalesce(known_at >= target_at, F.lit(False))).limit(1).count()
+    if late:
+        raise ValueError("features that were not known before the target: a walk-forward over them would leak")
 
 
 def block_bootstrap(group: pd.DataFrame, value: str, order: str, length: int, draws: int, weeks: int, seed: int) -> pd.DataFrame:

@@ -65,6 +65,11 @@ def keyed_normal(seed: int, scenarios: np.ndarray, kind: str, keys: list[str]) -
     return np.sqrt(-2 * np.log(np.maximum(1e-12, u1))) * np.cos(2 * np.pi * u2)
 
 
+def keyed_uniform(seed: int, scenarios: np.ndarray, kind: str, keys: list[str]) -> np.ndarray:
+    base = ((scenarios.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) ^ np.uint64(seed & 0xFFFFFFFF)
+    return _finish(_mix(_mix(base, fnv1a_of(kind))[:, None], np.array([fnv1a_of(k) for k in keys], dtype=np.uint64)[None, :]))
+
+
 def season_totals(seed: int, scenarios: np.ndarray, keys: list[str], position: np.ndarray, mean: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
     """[scenario, player] season totals: a two-piece shock that expects nothing, and the error of projections."""
     z, e = keyed_normal(seed, scenarios, "player-projection", keys), keyed_normal(seed, scenarios, "player-error", keys)
@@ -127,23 +132,50 @@ def draft(order: np.ndarray, position: np.ndarray, league: League, forced: int |
     return rosters
 
 
-def strengths(rosters: np.ndarray, totals: np.ndarray, mean: np.ndarray, position: np.ndarray, league: League) -> np.ndarray:
-    """[scenario, team] points a week of the line-up chosen by projection, less what missed games cost after the best
-    player on the bench who may stand in."""
-    b, t, r = rosters.shape
+def drafts(pool: pd.DataFrame, scenarios: DataFrame, league: League = League(), seed: int = 7) -> DataFrame:
+    """(scenario, team, round, key): whole drafts without a candidate; ``pool``: key, position, center and spread."""
+    pool = pool.sort_values("key").reset_index(drop=True)
+    keys = np.array([str(k) for k in pool["key"]], dtype=object)
+    position = np.array([POSITIONS.index(p) for p in pool["position"]], dtype=int)
+    center, spread = pool["center"].to_numpy(float), pool["spread"].to_numpy(float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch) if len(keys) else 0, BLOCK):
+                ids = batch["scenario"].to_numpy()[start : start + BLOCK]
+                order = np.argsort(center + keyed_normal(seed, ids, "draft", list(keys)) * spread, axis=1, kind="stable")
+                rosters = draft(order, position, league, None)
+                s, t, r = np.nonzero(rosters >= 0)
+                yield pd.DataFrame({"scenario": ids[s], "team": t.astype(np.int32), "round": (r + 1).astype(np.int32), "key": keys[rosters[s, t, r]]})
+
+    return scenarios.mapInPandas(run, "scenario long, team int, round int, key string")
+
+
+def _sorted(rosters: np.ndarray, mean: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(players, positions) of each roster by projection, best first; position -1 where there is none."""
     none = rosters < 0
     at = np.where(none, 0, rosters)
-    m = np.where(none, -np.inf, mean[at])
-    by = np.argsort(-m, axis=2, kind="stable")
+    by = np.argsort(np.where(none, np.inf, -mean[at]), axis=2, kind="stable")
     at, none = np.take_along_axis(at, by, 2), np.take_along_axis(none, by, 2)
-    pos = np.where(none, -1, position[at])
-    value = np.where(none, 0.0, np.take_along_axis(totals[:, None, :].repeat(t, 1), at, 2)) / 17
-    starts = np.zeros((b, t, r), dtype=bool)
+    return at, np.where(none, -1, position[at])
+
+
+def _starters(pos: np.ndarray, league: League) -> np.ndarray:
+    """Who starts of rosters sorted by projection: fixed slots first, then the flexible one."""
+    starts = np.zeros(pos.shape, dtype=bool)
     for i, n in enumerate(league.slots):
         mine = pos == i
         starts |= mine & (np.cumsum(mine, axis=2) <= n)
     rest = ~starts & np.isin(pos, np.flatnonzero(FLEXIBLE))
-    starts |= rest & (np.cumsum(rest, axis=2) <= league.flex)
+    return starts | (rest & (np.cumsum(rest, axis=2) <= league.flex))
+
+
+def strengths(rosters: np.ndarray, totals: np.ndarray, mean: np.ndarray, position: np.ndarray, league: League) -> np.ndarray:
+    """[scenario, team] points a week of the line-up chosen by projection, less what missed games cost after the best
+    player on the bench who may stand in."""
+    at, pos = _sorted(rosters, mean, position)
+    value = np.where(pos < 0, 0.0, totals[np.arange(len(totals))[:, None, None], at]) / 17
+    starts = _starters(pos, league)
     out = (value * starts).sum(axis=2)
     for i in range(len(POSITIONS)):
         bench = ~starts & (np.isin(pos, np.flatnonzero(FLEXIBLE)) if FLEXIBLE[i] else pos == i)
@@ -154,13 +186,34 @@ def strengths(rosters: np.ndarray, totals: np.ndarray, mean: np.ndarray, positio
     return out
 
 
+def weekly_strengths(rosters: np.ndarray, totals: np.ndarray, mean: np.ndarray, position: np.ndarray, league: League, keys: list[str], seed: int, scenarios: np.ndarray) -> np.ndarray:
+    """[week, scenario, team] points of the line-up of those who are active that week, by draws keyed by week and player.
+
+    Points of an active week are the season total over the weeks a player is active on average.
+    """
+    at, pos = _sorted(rosters, mean, position)
+    rows = np.arange(len(totals))[:, None, None]
+    value = np.where(pos < 0, 0.0, totals[rows, at]) / 17 / np.where(pos < 0, 1.0, 1 - MISSED[pos])
+    out = []
+    for week in range(17):
+        active = keyed_uniform(seed, scenarios, f"player-availability-{week}", keys) >= MISSED[position][None, :]
+        here = np.where(active[rows, at], pos, -1)
+        out.append((value * _starters(here, league)).sum(axis=2))
+    return np.stack(out)
+
+
 def champions(strength: np.ndarray, seed: int, scenarios: np.ndarray, league: League) -> tuple[np.ndarray, np.ndarray]:
-    """(champion, regular-season wins) of each scenario: fourteen weeks of round robin, then the best six with two byes."""
-    b, t = strength.shape
+    """(champion, regular-season wins) of each scenario: fourteen weeks of round robin, then the best six with two byes.
+
+    ``strength``: [scenario, team], or [week, scenario, team] with the play-off weeks last.
+    """
+    weekly = strength if strength.ndim == 3 else np.broadcast_to(strength, (17, *strength.shape))
+    b, t = weekly.shape[1:]
+    strength = weekly[:14].mean(axis=0)
     wins, rows = np.zeros((b, t)), np.arange(b)
     for week in range(14):
         noise = keyed_normal(seed, scenarios, f"regular-{week}", [str(i) for i in range(t)]) * league.weekly_error
-        score = strength + noise
+        score = weekly[week] + noise
         turn = [0, *[(i - 1 + week) % (t - 1) + 1 for i in range(1, t)]]
         for i in range(t // 2):
             a, z = turn[i], turn[t - 1 - i]
@@ -171,7 +224,7 @@ def champions(strength: np.ndarray, seed: int, scenarios: np.ndarray, league: Le
     shock = [keyed_normal(seed, scenarios, f"playoff-{k}", [str(i) for i in range(t)]) * PLAYOFF_NOISE for k in range(3)]
 
     def play(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-        return np.where(strength[rows, x] + shock[k][rows, x] >= strength[rows, y] + shock[k][rows, y], x, y)
+        return np.where(weekly[14 + k][rows, x] + shock[k][rows, x] >= weekly[14 + k][rows, y] + shock[k][rows, y], x, y)
 
     w1, w2 = play(seeds[:, 2], seeds[:, 5], 0), play(seeds[:, 3], seeds[:, 4], 0)
     # the first seed meets the lower of the two winners
@@ -180,11 +233,12 @@ def champions(strength: np.ndarray, seed: int, scenarios: np.ndarray, league: Le
     return play(play(seeds[:, 0], low, 1), play(seeds[:, 1], high, 1), 2), wins
 
 
-def title_runs(pool: pd.DataFrame, candidates: list[str], scenarios: DataFrame, league: League = League(), seed: int = 7) -> DataFrame:
+def title_runs(pool: pd.DataFrame, candidates: list[str], scenarios: DataFrame, league: League = League(), seed: int = 7, weekly: bool = False) -> DataFrame:
     """(candidate, scenario, won, wins): each candidate taken by the user at the first pick, in every scenario.
 
     ``pool``: key, position, mean, floor, ceiling, center and spread of the market. The same scenario gives every
-    candidate the same draws. An empty pool or no candidate gives no rows.
+    candidate the same draws. ``weekly``: line-ups week by week from those active, instead of a season's line-up less what
+    missed games cost. An empty pool or no candidate gives no rows.
     """
     if len(pool) > MAX_POOL:
         raise ValueError(f"a league's pool has at most {MAX_POOL} players, not {len(pool)}")
@@ -201,8 +255,78 @@ def title_runs(pool: pd.DataFrame, candidates: list[str], scenarios: DataFrame,
                 order = np.argsort(center + keyed_normal(seed, ids, "draft", keys) * spread, axis=1, kind="stable")
                 totals = season_totals(seed, ids, keys, position, mean, floor, ceiling)
                 for name, forced in chosen:
-                    strength = strengths(draft(order, position, league, forced), totals, mean, position, league)
+                    rosters = draft(order, position, league, forced)
+                    strength = weekly_strengths(rosters, totals, mean, position, league, keys, seed, ids) if weekly else strengths(rosters, totals, mean, position, league)
                     champion, wins = champions(strength, seed, ids, league)
                     yield pd.DataFrame({"candidate": name, "scenario": ids, "won": (champion == league.user).astype(int), "wins": wins[:, league.user]})
 
     return scenarios.mapInPandas(run, "candidate string, scenario long, won int, wins double")
+
+
+def rollouts(pool: pd.DataFrame, roster: list[str], candidates: DataFrame, picks: list[int], league: League = League(), scenarios: int = 24, beam: int = 5, width: int = 5, seed: int = 7) -> DataFrame:
+    """(candidate, score, step, pick_no, key, share): what a choice now leads to at the next own picks, by beam search.
+
+    In each scenario players are still there at a pick with their chance ``s<step>`` (columns of ``pool``, beside key,
+    position and value); the path with the best roster counts: starters in full, the bench at a fifth. ``score`` is the
+    mean over scenarios; the path given is the commonest player of each step, if a quarter of the scenarios agree.
+    """
+    pool = pool.sort_values("key").reset_index(drop=True)
+    keys, position, value = [str(k) for k in pool["key"]], [str(p) for p in pool["position"]], pool["value"].to_numpy(float)
+    chance = [pool[f"s{i}"].to_numpy(float) for i in range(len(picks))]
+    index = {k: i for i, k in enumerate(keys)}
+    slots = dict(zip(POSITIONS, league.slots))
+    caps = dict(zip(POSITIONS, league.caps))
+
+    def utility(chosen: tuple[int, ...]) -> float:
+        total, used, flex = 0.0, dict.fromkeys(POSITIONS, 0), league.flex
+        for i in sorted(chosen, key=lambda i: (-value[i], keys[i])):
+            p = position[i]
+            if used[p] < slots[p]:
+                total += value[i]
+            elif FLEXIBLE[POSITIONS.index(p)] and flex > 0:
+                flex -= 1
+                total += value[i]
+            else:
+                total += 0.2 * max(0.0, value[i])
+            used[p] += 1
+        return total
+
+    def best_path(start: tuple[int, ...], there: list[np.ndarray]) -> tuple[float, tuple[int, ...]]:
+        branches = [(utility(start), start, ())]
+        for step in range(len(picks)):
+            grown = []
+            for score, have, path in branches:
+                count = {p: sum(position[i] == p for i in have) for p in POSITIONS}
+                free = [i for i in np.flatnonzero(there[step]) if i not in have and count[position[i]] < caps[position[i]]]
+                rated = sorted(((utility((*have, i)), i) for i in free), key=lambda x: (-x[0], keys[x[1]]))[:width]
+                grown += [(u, (*have, i), (*path, i)) for u, i in rated] or [(score, have, (*path, -1))]
+            seen: dict[frozenset, tuple] = {}
+            for b in sorted(grown, key=lambda b: (-b[0], [keys[i] for i in b[2] if i >= 0])):
+                seen.setdefault(frozenset(b[1]), b)
+            branches = list(seen.values())[:beam]
+        return branches[0][0], branches[0][2]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = np.arange(scenarios)
+        there = [keyed_uniform(seed, ids, f"rollout-{i}", keys) < chance[i][None, :] for i in range(len(picks))] if keys else []
+        held = tuple(index[k] for k in roster if k in index)
+        for batch in batches:
+            rows = []
+            for name in batch["candidate"]:
+                if name not in index or index[name] in held:
+                    continue
+                found = [best_path((*held, index[name]), [t[s] for t in there]) for s in ids]
+                score, taken = float(np.mean([f[0] for f in found])), set()
+                rows.append((name, score, 0, None, name, 1.0))
+                for step, pick in enumerate(picks):
+                    n: dict[int, int] = {}
+                    for _, path in found:
+                        if path[step] >= 0 and path[step] not in taken:
+                            n[path[step]] = n.get(path[step], 0) + 1
+                    top = min(n, key=lambda i: (-n[i], -value[i], keys[i]), default=None)
+                    if top is not None and n[top] >= max(2, -(-scenarios // 4)):
+                        taken.add(top)
+                        rows.append((name, score, step + 1, pick, keys[top], n[top] / scenarios))
+            yield pd.DataFrame(rows, columns=["candidate", "score", "step", "pick_no", "key", "share"]).astype({"pick_no": "Int64"})
+
+    return candidates.mapInPandas(run, "candidate string, score double, step int, pick_no int, key string, share double")

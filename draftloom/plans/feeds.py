@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftloom.operators import models as M
+from draftloom.operators import season
 from draftloom.plans.temporal import _seasons
 from draftloom.session import read, shared_dir
 from draftloom.sources import readers
@@ -131,7 +132,7 @@ def _board_events(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     size = F.pmod(c("event_id") * 7, F.lit(9)).cast("int")
     board = F.to_json(F.transform(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("n"), (i * 3 + F.floor(c("event_id") / 40).cast("int")).alias("p"))))
-    return e.select(c("user_id").cast("string").alias("key"), c("event_id").alias("seq"), F.when(c("event_id") % 10 == 0, "heartbeat").otherwise("state").alias("kind"), F.lit("s1").alias("session"), F.concat(F.lit("r"), F.floor(c("event_id") / 4000).cast("string")).alias("run"), board.alias("picks"), c("event_id").alias("at"))
+    return e.select(c("user_id").cast("string").alias("key"), c("event_id").alias("seq"), F.when(c("event_id") % 10 == 0, "heartbeat").otherwise("state").alias("kind"), F.lit("s1").alias("session"), F.concat(F.lit("r"), F.floor(c("event_id") / 4000).cast("string")).alias("run"), board.alias("picks"), c("event_id").alias("at"), F.lit(8).alias("total"), F.when(c("event_id") % 3 == 0, "drafting").otherwise("complete").alias("status"))
 
 
 def stable_picks_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -157,17 +158,28 @@ def ridge_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     return M.walk_forward(x, "season", "target_ppr_total", FEATURES).select("example_id", "season", R("prediction", 4).alias("prediction"))
 
 
+def ridge_nested_offset(spark: SparkSession, d: str) -> DataFrame:
+    """The ridge forecasts shifted by the median miss of the forecasts of all earlier seasons, themselves out of fold."""
+    x = read(spark, d, "player_examples").select("example_id", "season", "target_ppr_total", *FEATURES)
+    out = M.nested_offset(M.walk_forward(x, "season", "target_ppr_total", FEATURES), "season", "target_ppr_total")
+    return out.select("example_id", "season", R("offset", 4).alias("offset"), R("adjusted", 4).alias("adjusted"))
+
+
 def gbt_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "player_examples").select("example_id", "season", "target_ppr_total", *FEATURES)
     return M.walk_forward(x, "season", "target_ppr_total", FEATURES, kind="gbt").select("example_id", "season", R("prediction", 4).alias("prediction"))
 
 
 def finish_draft(spark: SparkSession, d: str) -> DataFrame:
-    """Two hundred keyed snake drafts of the 240 best of a season: how often each team gets each player."""
-    top = _seasons(spark, d).where("season = 2023").orderBy(c("fantasy_points_ppr").desc(), "player_id").limit(240)
-    pool = top.select(c("stat_row_id").alias("key"), c("fantasy_points_ppr").alias("mean"), "position").toPandas()
-    drafts = M.greedy_drafts(pool, spark.range(200).select(c("id").alias("scenario")), 12, 8, {"QB": 2, "RB": 4, "WR": 4, "TE": 2, "K": 1}, 19, 20.0)
-    return drafts.groupBy("team", "key").agg(F.count(F.lit(1)).alias("n"), R(F.avg("pick_no"), 6).alias("mean_pick"))
+    """A thousand keyed snake drafts of 12 teams and 16 rounds from the newest season's board, with needs, caps, completion
+    and a lookahead of 32: how often each team gets each player, and when."""
+    s = _seasons(spark, d).where("position is not null and fantasy_points_ppr is not null and not isnan(fantasy_points_ppr)").withColumn("position", F.upper(F.trim("position"))).where(c("position").isin(*season.POSITIONS))
+    newest = s.join(F.broadcast(s.agg(F.max("season").alias("season"))), "season")
+    # who stands later than twice the number of picks is drafted in no scenario
+    board = newest.orderBy(c("fantasy_points_ppr").desc(), "player_id").limit(2 * 12 * 16).select(c("player_id").alias("key"), "position").toPandas()
+    board["center"], board["spread"] = range(1, len(board) + 1), 8.0
+    drafts = season.drafts(board, spark.range(0, 1000, 1, 16).withColumnRenamed("id", "scenario"), season.League(), 19)
+    return drafts.groupBy("team", "key").agg(F.count(F.lit(1)).alias("n"), R(F.avg("round"), 6).alias("mean_round"))
 
 
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +189,7 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("player_id", "season").applyInPandas(run, "player_id string, season int, p10 double, p50 double, p90 double")
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, json_lines_round_trip, json_tree_keys, snapshot_once, csv_record_in_column, csv_records, html_rows, text_regex_rows, participation_explode, modal_value, json_props, control_characters, retention_prune, capture_throttle, latest_state_upsert, contiguity_gate, pick_log_state, stable_picks_stream, stable_picks_batch, ridge_walk_forward, gbt_walk_forward, finish_draft, block_bootstrap)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, json_lines_round_trip, json_tree_keys, snapshot_once, csv_record_in_column, csv_records, html_rows, text_regex_rows, participation_explode, modal_value, json_props, control_characters, retention_prune, capture_throttle, latest_state_upsert, contiguity_gate, pick_log_state, stable_picks_stream, stable_picks_batch, ridge_walk_forward, ridge_nested_offset, gbt_walk_forward, finish_draft, block_bootstrap)}
 ORACLE = {
     "csv_round_trip": "SELECT stat_row_id, player_id, season, games, player_display_name FROM player_seasons",
     "json_lines_round_trip": "SELECT roster_row_id, player_id, name, team FROM players",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from draftloom.functions import scalars as S
+from draftloom.operators import decision as D
 from draftloom.operators import season
-from draftloom.plans.board import CURVE, _scored
+from draftloom.plans.board import CURVE, _scored, availability
 from draftloom.session import stage
 
 c = F.col
@@ -20,19 +21,24 @@ TASKS = 40
 POOL = 2 * 12 * 16
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    """The best five of the largest source's board, each drafted in the same 10,000 scenarios."""
+def _board(spark: SparkSession, d: str) -> DataFrame:
+    """The board of the source with most usable listings."""
     board = stage(_scored(spark, d), "odds-board")
     largest = board.groupBy("source_id").count().orderBy(c("count").desc(), "source_id").limit(1).select("source_id")
-    one = board.join(F.broadcast(largest), "source_id")
+    return board.join(F.broadcast(largest), "source_id")
+
+
+def _runs(spark: SparkSession, d: str, weekly: bool = False, scenarios: int = SCENARIOS) -> DataFrame:
+    """The best five of the board, each drafted in the same scenarios."""
+    one = _board(spark, d)
     # listings without a market stand behind all that have one
     center = F.coalesce("adp", F.lit(400.0))
     all_ = one.select(c("listing_id").cast("string").alias("key"), "position", "mean", "floor", "ceiling", center.alias("center"), S.interpolate(center, CURVE).alias("spread"), "score")
     top = all_.orderBy(c("score").desc(), "key").limit(CANDIDATES)
     pool = all_.orderBy("center", "key").limit(POOL).unionByName(top).dropDuplicates(["key"]).toPandas()
     best = [r[0] for r in top.select("key").collect()]
-    scenarios = spark.range(0, SCENARIOS, 1, TASKS).withColumnRenamed("id", "scenario")
-    return season.title_runs(pool, best, scenarios, season.League(), SEED)
+    worlds = spark.range(0, scenarios, 1, TASKS).withColumnRenamed("id", "scenario")
+    return season.title_runs(pool, best, worlds, season.League(), SEED, weekly)
 
 
 def _pairs(runs: DataFrame) -> DataFrame:
@@ -93,5 +99,26 @@ def ranking_readiness(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("look", "leader").agg(F.count_if("out").alias("eliminated"), F.count_if(~c("out")).alias("unresolved"), F.every("out").alias("ready"))
 
 
-QUERIES = {f.__name__: f for f in (title_odds, evidence_ranking, ranking_readiness)}
+def weekly_title_odds(spark: SparkSession, d: str) -> DataFrame:
+    """Title odds with line-ups set week by week from the players active that week, in 2,000 scenarios (the reference's
+    weekly model is not its default either)."""
+    runs = _runs(spark, d, True, 2000)
+    return runs.groupBy("candidate").agg(F.count(F.lit(1)).alias("scenarios"), F.sum("won").alias("titles"), R(F.avg("wins"), 4).alias("wins"))
+
+
+def draft_rollout(spark: SparkSession, d: str) -> DataFrame:
+    """Beam search over the next two own picks for the best 18 of the board: mean roster value and the usual path."""
+    league = season.League()
+    one = _board(spark, d).select(c("listing_id").cast("string").alias("key"), "position", c("o_mean").alias("value"), "adp", "score")
+    top = one.orderBy(c("score").desc(), "key").limit(18)
+    now, after = 40, [57, 64]
+    chance = [availability(c("position"), c("adp"), F.lit(float(p)), F.lit(float(now + 1))).alias(f"s{i}") for i, p in enumerate(after)]
+    # the ten best of each position that are not on the list of candidates anyway
+    few = D.top_k(one.where(c("position").isin("QB", "RB", "WR", "TE")), ["position"], [c("value").desc(), c("key")], 10).select(*one.columns)
+    pool = few.unionByName(top).dropDuplicates(["key"]).select("key", "position", "value", *chance).toPandas()
+    out = season.rollouts(pool, [], top.select(c("key").alias("candidate")).repartition(6), after, league, seed=SEED)
+    return out.select("candidate", R("score").alias("score"), "step", "pick_no", "key", R("share").alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (title_odds, weekly_title_odds, draft_rollout, evidence_ranking, ranking_readiness)}
 ORACLE: dict[str, str] = {}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATE = "picks string, pending string, session string, run string, updated long"
+UNDER_WAY = ("drafting", "predraft", "waiting")
 OUT = "key string, seq long, n_picks int, accepted string"
 
 
@@ -28,7 +29,8 @@ def stable_picks(old: list, new: list, pending: str | None) -> tuple[list, str |
 
 
 def fold(state: dict | None, event: dict) -> tuple[dict, str]:
-    """One event applied to a draft's state. A stale session is dropped; another run id starts over."""
+    """One event applied to a draft's state. A stale session is dropped; another run id starts over, and so does a full
+    board (``total`` picks, where an event names them) that an event of a draft under way shows with fewer picks."""
     picks = json.loads(event["picks"]) if isinstance(event["picks"], str) else list(event["picks"] or [])
     if state is None or (event["run"] and state["run"] and event["run"] != state["run"]):
         return {"picks": picks, "pending": None, "session": event["session"], "run": event["run"], "updated": event["at"]}, "new run" if state else "new"
@@ -36,6 +38,10 @@ def fold(state: dict | None, event: dict) -> tuple[dict, str]:
         return state, "stale session"
     if event["kind"] == "heartbeat":
         return state | {"updated": max(state["updated"], event["at"])}, "heartbeat"
+    total = event.get("total")
+    total = int(total) if total is not None and total == total else 0
+    if 0 < total <= len(state["picks"]) and len(picks) < total and event.get("status") in UNDER_WAY:
+        return {"picks": picks, "pending": None, "session": event["session"] or state["session"], "run": event["run"] or state["run"], "updated": max(state["updated"], event["at"])}, "rewound"
     picks, pending, what = stable_picks(state["picks"], picks, state["pending"])
     return {"picks": picks, "pending": pending, "session": event["session"] or state["session"], "run": event["run"] or state["run"], "updated": max(state["updated"], event["at"])}, what
 
@@ -55,7 +61,8 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.D
 
 
 def stream_state(events: DataFrame) -> DataFrame:
-    """A stream of (key, seq, kind, session, run, picks JSON, at) -> one row per event with the state after it."""
+    """A stream of (key, seq, kind, session, run, picks JSON, at, and if known total and status) -> one row per event with
+    the state after it."""
     return events.groupBy("key").applyInPandasWithState(_update, OUT, STATE, "append", "NoTimeout")
 
 

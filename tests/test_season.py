@@ -77,3 +77,56 @@ def test_empty_and_too_large_pools(spark):
     assert s.title_runs(pool().head(0), ["p1"], ids).count() == 0
     with pytest.raises(ValueError, match="at most"):
         s.title_runs(pd.concat([pool()] * 8), [], ids)
+
+
+def test_weekly_line_ups_use_the_active():
+    position = np.array([0, 1, 1, 1])
+    mean = np.array([340.0, 170.0, 153.0, 136.0])
+    league = s.League(teams=1, rounds=4, slots=(1, 1, 0, 0, 0, 0), flex=1)
+    ids = np.arange(400)
+    got = s.weekly_strengths(np.tile(np.arange(4), (400, 1, 1)), np.tile(mean, (400, 1)), mean, position, league, ["a", "b", "c", "d"], 3, ids)
+    assert got.shape == (17, 400, 1)
+    per = mean / 17 / np.array([0.92, 0.84, 0.84, 0.84])
+    assert got.max() == pytest.approx(per[0] + per[1] + per[2]) and got.min() >= 0
+    # each is active as often as the position's prior says; with two of three backs starting, the third is needed at times
+    q = 0.84
+    backs = q * q * (per[1] + per[2]) + q * (1 - q) * (per[1] + q * per[3]) + (1 - q) * q * (per[2] + q * per[3]) + (1 - q) ** 2 * q * per[3]
+    assert got.mean() == pytest.approx(0.92 * per[0] + backs, rel=0.02)
+
+
+def test_rollouts_equal_an_exhaustive_search(spark):
+    rng = np.random.default_rng(2)
+    kinds = ["QB", "RB", "WR", "TE"] * 3
+    p = pd.DataFrame({"key": [f"k{i:02d}" for i in range(12)], "position": kinds, "value": rng.uniform(1, 50, 12), "s0": 1.0, "s1": 1.0})
+    ids = spark.createDataFrame([("k01",), ("k02",), ("nobody",)], "candidate string")
+    got = s.rollouts(p, [], ids, [10, 20], scenarios=4, beam=200, width=50).toPandas()
+    value = dict(zip(p["key"], p["value"]))
+    kind = dict(zip(p["key"], p["position"]))
+
+    def worth(keys):
+        used, flex, total = {}, 1, 0.0
+        for k in sorted(keys, key=lambda k: -value[k]):
+            q = kind[k]
+            if used.get(q, 0) < {"QB": 1, "RB": 2, "WR": 2, "TE": 1}[q]:
+                total += value[k]
+            elif q != "QB" and flex:
+                flex, total = 0, total + value[k]
+            else:
+                total += 0.2 * value[k]
+            used[q] = used.get(q, 0) + 1
+        return total
+
+    import itertools
+
+    for name in ("k01", "k02"):
+        best = max(worth((name, *two)) for two in itertools.combinations([k for k in value if k != name], 2))
+        mine = got[got["candidate"] == name]
+        assert mine["score"].iloc[0] == pytest.approx(best) and list(mine["step"]) == [0, 1, 2] and set(mine["share"]) == {1.0}
+    assert "nobody" not in set(got["candidate"])
+
+
+def test_drafts_as_rows(spark):
+    ids = spark.range(0, 7).withColumnRenamed("id", "scenario")
+    got = s.drafts(pool()[["key", "position", "center", "spread"]], ids).toPandas()
+    assert len(got) == 7 * 192 and not got.duplicated(["scenario", "key"]).any()
+    assert s.drafts(pool().head(0), ids).count() == 0

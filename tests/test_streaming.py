@@ -24,6 +24,15 @@ def test_sessions_runs_heartbeats():
     assert what == "heartbeat" and after["picks"] == [1, 2] and after["updated"] == 9
 
 
+def test_a_full_board_that_is_rewound_starts_over():
+    state, _ = fold(None, event([1, 2, 3, 4]))
+    again = event([1]) | {"total": 4, "status": "drafting"}
+    assert fold(state, again)[1] == "rewound" and fold(state, again)[0]["picks"] == [1]
+    assert fold(state, again | {"status": "complete"})[1] == "held"
+    assert fold(state, again | {"total": 6})[1] == "held"
+    assert fold(state, again | {"total": float("nan")})[1] == "held"
+
+
 def test_stream_equals_batch(spark, sf_dir):
     from draftloom.plans.feeds import stable_picks_batch, stable_picks_stream
 

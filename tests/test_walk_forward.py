@@ -40,3 +40,19 @@ def test_boosting_reaches_the_label(spark):
 def test_one_season_gives_no_forecast(spark):
     assert models.walk_forward(examples(spark, [2027]), "season", "y", ["share"]).count() == 0
 
+
+
+def test_offsets_are_medians_of_earlier_misses(spark):
+    rows = [(i, 2020 + i // 10, float(i % 10), 5.0) for i in range(40)] + [(99, 2023, None, 5.0)]
+    got = models.nested_offset(spark.createDataFrame(rows, "id long, season int, y double, prediction double"), "season", "y").toPandas()
+    assert len(got) == 41
+    assert got.groupby("season")["offset"].first().to_dict() == {2020: 0.0, 2021: -0.5, 2022: -0.5, 2023: -0.5}
+
+
+def test_leaking_features_are_an_error(spark):
+    import pytest
+
+    df = spark.createDataFrame([(2020, 2021), (None, 2021)], "known int, season int")
+    models.check_leakage(df, models.c("known"), models.c("season"))
+    with pytest.raises(ValueError, match="leak"):
+        models.check_leakage(df.union(spark.createDataFrame([(2021, 2021)], df.schema)), models.c("known"), models.c("season"))
