@@ -76,11 +76,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for work that costs much per row, where its few files would keep most cores idle.
 
-    Judged by the plan's size alone, so nothing runs to find out: an input that fills a scan partition per core stays as
-    it is, and only smaller ones are moved.
+    A plain scan is asked for its splits; of anything that would have to run to be asked, the plan's size is judged. An
+    input that fills the cores stays as it is, so only small ones are moved.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    per_partition = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df if size >= cores * per_partition else df.repartition(cores)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if {line.lstrip(" +-:").split(" ")[0] for line in plan.toString().splitlines() if line.strip()} <= {"Project", "Filter", "Relation"}:
+        full = df.rdd.getNumPartitions() >= cores
+    else:
+        full = int(str(plan.stats().sizeInBytes())) >= cores * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if full else df.repartition(cores)
