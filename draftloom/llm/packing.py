@@ -20,20 +20,30 @@ from pyspark.sql import functions as F
 
 from draftloom.session import spread, stage
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# where every worker finds the vocabulary file: this setting of the session, or the default
+TOKENIZER_CONF, TOKENIZER = "draftloom.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the splitting pattern published with this byte-level vocabulary
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n): the length of every text in tokens. A null text has length 0."""
+def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n): the length of every text in tokens. A null text has length 0.
+
+    ``tokenizer``: path of the vocabulary file on the workers; unless given, the session's setting TOKENIZER_CONF. A
+    worker that lacks the file fails and names it.
+    """
+    tokenizer = tokenizer or docs.sparkSession.conf.get(TOKENIZER_CONF, TOKENIZER)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
+        import os
 
         import tiktoken
 
+        if not os.path.exists(tokenizer):
+            raise FileNotFoundError(f"no vocabulary file {tokenizer} on this worker; set draftloom.tokenizer to its path")
+
         with open(tokenizer, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -142,7 +152,7 @@ def ranked(counts: DataFrame) -> DataFrame:
     return salted.withColumn("inner", inner).join(offsets, ["n", "salt"]).select("doc_id", "n", (F.col("inner") + F.col("before")).alias("rank"))
 
 
-def pack(docs: DataFrame, targets: list[tuple[int, int]], tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, targets: list[tuple[int, int]], tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(target_id, container_no, doc_id, piece_no, start_token, n_tokens) for every document and target.
 
     ``targets``: (target_id, capacity) pairs, capacity >= 1. A text longer than the capacity comes out in pieces. Empty
