@@ -72,6 +72,9 @@ def quantiles(rows: DataFrame, group: list[str], value: str, ps: list[float], na
     return x.select(*group, F.array(*[b.cast("double") for b in between]).alias(name), "n")
 
 
-def average_ranks(rows: DataFrame, group: list[str], value: str, name: str = "rank") -> DataFrame:
-    """(group, value, name): the rank of each distinct value from 1, ties sharing the mean of their places."""
-    return histogram(rows, group, value).select(*group, value, (c("n_upto") - (c("n") - 1) / 2).alias(name))
+def average_ranks(rows: DataFrame, group: list[str], value: str, name: str = "rank", count: Column | None = None) -> DataFrame:
+    """(group, value, name): the rank of each distinct value from 1, ties sharing the mean of their places.
+
+    ``count``: how many rows a row stands for.
+    """
+    return histogram(rows, group, value, count).select(*group, value, (c("n_upto") - (c("n") - 1) / 2).alias(name))

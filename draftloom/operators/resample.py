@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +63,31 @@ def budget(rows: DataFrame, group: list[str], value: str, target: Column, low: f
 def simplex_search(rows: DataFrame, group: list[str], predictions: list[str], actual: str, steps: int = 20, pull: float = 0.01) -> DataFrame:
     """Per group the weights on the simplex (in 1/steps) with the least mean absolute error plus a pull to equal weights.
 
-    The grid is of fixed size: one average a step, all in one pass that moves a row of sums per group and task.
+    The grid is of fixed size: each task adds up the losses of all its steps per group, so what moves is a row of sums per
+    group and task. Rows with a null or NaN in any of the columns are left out.
     """
     k = len(predictions)
     grid = [(i / steps, j / steps, (steps - i - j) / steps) for i in range(steps + 1) for j in range(steps + 1 - i)]
-    losses = [F.avg(F.abs(sum((c(p) * w for p, w in zip(predictions, ws)), F.lit(0.0)) - c(actual))).alias(f"g{i}") for i, ws in enumerate(grid)]
-    each = rows.groupBy(*group).agg(*losses).select(*group, F.posexplode(F.array(*[c(f"g{i}") for i in range(len(grid))])).alias("g", "mae"))
+    weights = np.array(grid).T
+    known = F.lit(True)
+    for x in (*predictions, actual):
+        known = known & c(x).isNotNull() & ~F.isnan(c(x).cast("double"))
+    ready = rows.where(known).select(*group, *[c(x).cast("double").alias(x) for x in (*predictions, actual)])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, list] = {}
+        for batch in batches:
+            for key, part in batch.groupby(group, dropna=False, sort=False):
+                loss = np.abs(part[predictions].to_numpy() @ weights - part[[actual]].to_numpy()).sum(axis=0)
+                at = total.setdefault(key, [np.zeros(len(grid)), 0])
+                at[0] += loss
+                at[1] += len(part)
+        out = pd.DataFrame([(*key, list(v), n) for key, (v, n) in total.items()], columns=[*group, "sums", "n"])
+        yield out.astype(object).where(out.notna(), None) if len(out) else out
+
+    kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group)
+    parts = ready.mapInPandas(sums, f"{kinds}, sums array<double>, n long")
+    each = parts.select(*group, "n", F.posexplode("sums").alias("g", "s")).groupBy(*group, "g").agg((F.sum("s") / F.sum("n")).alias("mae"))
     extra = F.element_at(F.array(*[F.lit(pull * sum((w - 1 / k) ** 2 for w in ws)) for ws in grid]), c("g") + 1)
     best = each.withColumn("score", F.round(c("mae") + extra, 9)).groupBy(*group).agg(F.min_by(F.struct("g", "mae"), F.struct("score", "g")).alias("b"))
     ws = [F.element_at(F.array(*[F.lit(x[i]) for x in grid]), c("b.g") + 1).alias(f"w{i}") for i in range(k)]

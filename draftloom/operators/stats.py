@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftloom.operators import ranks
+from draftloom.session import stage
 
 c = F.col
 
@@ -45,8 +46,8 @@ def average_rank(rows: DataFrame, group: list[str], value: str, name: str = "ran
 def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per group. Equal pairs of values are counted first, so ties do not grow the work."""
     w = c("__w")
-    pairs = rows.groupBy(*group, x, y).agg(F.count(F.lit(1)).cast("double").alias("__w"))
-    r = pairs.join(ranks.average_ranks(rows, group, x, "__rx"), [*group, x]).join(ranks.average_ranks(rows, group, y, "__ry"), [*group, y])
+    pairs = stage(rows.groupBy(*group, x, y).agg(F.count(F.lit(1)).cast("double").alias("__w")), "pairs")
+    r = pairs.join(ranks.average_ranks(pairs, group, x, "__rx", w), [*group, x]).join(ranks.average_ranks(pairs, group, y, "__ry", w), [*group, y])
     m = r.groupBy(*group).agg(F.sum(w).alias("n"), (F.sum(w * c("__rx")) / F.sum(w)).alias("__mx"), (F.sum(w * c("__ry")) / F.sum(w)).alias("__my"))
     a, b = c("__rx") - c("__mx"), c("__ry") - c("__my")
     s = r.join(m, group).groupBy(*group, "n").agg(F.sum(w * a * b).alias("__ab"), F.sum(w * a * a).alias("__aa"), F.sum(w * b * b).alias("__bb"))
