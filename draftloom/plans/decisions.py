@@ -233,11 +233,13 @@ def paired_difference(spark: SparkSession, d: str) -> DataFrame:
 
 def title_calibration(spark: SparkSession, d: str) -> DataFrame:
     x = spark.range(0, 10001, 250)
+    # fixed values: a prior of 15,000 scenarios at one over twelve teams
     return x.select(c("id").alias("wins"), R((c("id") + 15000.0 / 12) / (10000 + 15000)).alias("probability"))
 
 
 def staged_z(spark: SparkSession, d: str) -> DataFrame:
     x = spark.createDataFrame([(n,) for n in (1000, 2500, 5000, 10000)], "scenarios int")
+    # fixed value: the z of a sequence of looks
     return x.select("scenarios", R(2.75 / F.sqrt(c("scenarios") / 10000.0), 8).alias("z"))
 
 

@@ -32,6 +32,7 @@ def season_lag_join(spark: SparkSession, d: str) -> DataFrame:
 
 def ewma_present_lags(spark: SparkSession, d: str) -> DataFrame:
     lag = T.season_lags(_years(spark, d), ["l_partkey"], "season", ["points"])
+    # fixed values: weights of the last three seasons
     x = S.weighted_present([c("points_lag1"), c("points_lag2"), c("points_lag3")], [0.60, 0.27, 0.13])
     return lag.select("l_partkey", "season", R(x, 8).alias("ewma"), R(F.coalesce(c("points_lag1") - c("points_lag2"), F.lit(0.0)), 8).alias("trend"))
 
@@ -131,6 +132,7 @@ def debut_season(spark: SparkSession, d: str) -> DataFrame:
 def empirical_shrink_predict(spark: SparkSession, d: str) -> DataFrame:
     """Recency-weighted rate pulled to the overall mean by the games behind it."""
     lag = T.season_lags(_seasons(spark, d).select("player_id", "season", "games", (c("fantasy_points_ppr") / F.greatest(F.lit(1), c("games"))).alias("rate")), ["player_id"], "season", ["rate", "games"])
+    # fixed values: weights of the last three seasons
     rate = S.weighted_present([c("rate_lag1"), c("rate_lag2"), c("rate_lag3")], [0.60, 0.27, 0.13])
     games = F.coalesce("games_lag1", F.lit(0)) + F.coalesce("games_lag2", F.lit(0)) + F.coalesce("games_lag3", F.lit(0))
     trust = games / (games + 12.0)
