@@ -9,6 +9,7 @@ listing and once by entity and source, until the marginals stand still; each lis
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import warnings
@@ -24,6 +25,8 @@ LISTED = 0.85
 ROUNDS, TOLERANCE, DAMPING = 200, 2e-3, 0.3
 TOP, FAINT = 30.0, -6.0
 HOT_BLOCK = 200
+# records of either side in a cell of a hot block, and pairs of hot blocks in a task
+CELL, TASK_PAIRS = 1000, 500_000
 
 # fixed values: name suffixes that do not tell people apart
 SUFFIXES = {"jr", "sr", "ii", "iii", "iv", "v"}
@@ -127,31 +130,84 @@ def _attributes() -> Column:
     return F.concat(F.array_compact(F.array(*single)), F.transform("dates", lambda d: F.concat(F.lit("d"), d)))
 
 
-def candidates(listings: DataFrame, entities: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
-    """(listing_id, record_id) once for every pair that shares a blocking key.
+def _held(key: Column) -> Column:
+    """The kind of attribute a key holds already, which splits nothing."""
+    return F.translate(F.substring(key, 1, 1), "bif", "ddd")
 
-    A key that more than ``hot_block`` entities share is split: pairs of its block must agree in one more attribute. Of so
-    many namesakes none that agrees in nothing else can reach a marginal worth giving.
-    """
-    hot = entities.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_block).select("key", F.lit(True).alias("hot"))
-    hot = stage(hot, "match-hot")
-    if hot.isEmpty():
+
+def _hot_keys(listings: DataFrame, entities: DataFrame, hot_block: int) -> DataFrame | None:
+    """(key, n_entities, n_listings) of the keys that more than ``hot_block`` entities and some listing share, if any."""
+    many = entities.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_entities")).where(F.col("n_entities") > hot_block)
+    many = stage(many, "match-hot")
+    if many.isEmpty():
+        return None
+    asked = listings.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_listings"))
+    hot = stage(many.join(asked, "key"), "match-hot")
+    return None if hot.isEmpty() else hot
+
+
+def _narrow(listings: DataFrame, entities: DataFrame, hot: DataFrame | None) -> DataFrame:
+    if hot is None:
         keys = lambda df, name: df.select(name, F.explode("keys").alias("key"))
         return keys(listings, "listing_id").join(keys(entities, "record_id"), "key").select("listing_id", "record_id").distinct()
+    flags = hot.select("key", F.lit(True).alias("hot"))
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        each = df.select(name, _attributes().alias("more"), F.explode("keys").alias("key")).join(hot, "key", "left")
-        # an attribute the key holds already splits nothing
-        held = F.translate(F.substring("key", 1, 1), "bif", "ddd")
-        split = F.when(F.col("hot"), F.transform(F.filter("more", lambda m: F.substring(m, 1, 1) != held), lambda m: F.concat("key", F.lit("|"), m))).otherwise(F.array("key"))
+        each = df.select(name, _attributes().alias("more"), F.explode("keys").alias("key")).join(flags, "key", "left")
+        split = F.when(F.col("hot"), F.transform(F.filter("more", lambda m: F.substring(m, 1, 1) != _held(F.col("key"))), lambda m: F.concat("key", F.lit("|"), m))).otherwise(F.array("key"))
         return each.select(name, F.explode(split).alias("key"))
 
     return keyed(listings, "listing_id").join(keyed(entities, "record_id"), "key").select("listing_id", "record_id").distinct()
 
 
+def candidates(listings: DataFrame, entities: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
+    """(listing_id, record_id) once for every pair that shares a narrow blocking key.
+
+    A key that more than ``hot_block`` entities share is split: pairs of its block must agree in one more attribute. The
+    pairs that do not are left to ``_rest``; ``evidence`` takes both.
+    """
+    return _narrow(listings, entities, _hot_keys(listings, entities, hot_block))
+
+
+def _rest(listings: DataFrame, entities: DataFrame, l: DataFrame, e: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pairs of hot blocks that ``_narrow`` leaves out, each once, as rows of ``l`` beside rows of ``e``.
+
+    They are met with their attributes, so they can be scored where they are met and are neither written nor moved. A block
+    is cut into cells of about CELL records of either side, so that no task has a large one to itself.
+    """
+    c = F.col
+    pairs = hot.agg(F.sum(c("n_listings") * c("n_entities"))).first()[0]
+    tasks = math.ceil(pairs / TASK_PAIRS)
+    cells = hot.select("key", F.ceil(c("n_listings") / CELL).alias("across"), F.ceil(c("n_entities") / CELL).alias("down"))
+
+    def dealt(df: DataFrame, rows: DataFrame, name: str, prefix: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        wide = df.select(name, F.explode("keys").alias("key")).join(hot.select("key"), "key").groupBy(name).agg(F.collect_set("key").alias("wide"))
+        parts = df.select(name, "keys", _attributes().alias("more")).join(wide, name)
+        parts = parts.select(name, c("wide").alias(f"{prefix}wide"), F.array_except("keys", "wide").alias(f"{prefix}cold"), c("more").alias(f"{prefix}more"), F.explode("wide").alias("key")).join(cells, "key")
+        placed = parts.withColumn(own[0], F.pmod(F.xxhash64(name), c(own[1]))).withColumn(other[0], F.explode(F.sequence(F.lit(0).cast("long"), c(other[1]) - 1))).drop("across", "down")
+        return rows.join(placed, name).repartition(tasks, "key", "x", "y")
+
+    met = dealt(listings, l, "listing_id", "", ("x", "across"), ("y", "down")).join(dealt(entities, e, "record_id", "e_", ("y", "down"), ("x", "across")), ["key", "x", "y"])
+    shared, agreed = F.array_intersect("wide", "e_wide"), F.array_intersect("more", "e_more")
+    # who has the same last name and shares a d key shares the n key too, which is greater
+    met = met.where((F.substring("key", 1, 1) != "d") | (c("last") != c("e_last"))).where(c("key") == F.array_max(shared))
+    narrow = F.arrays_overlap("cold", "e_cold") | F.exists(shared, lambda k: F.exists(agreed, lambda m: F.substring(m, 1, 1) != _held(k)))
+    return met.where(~narrow).select(*l.columns, *e.columns)
+
+
+def _plain_pairs(listings: DataFrame, entities: DataFrame) -> DataFrame:
+    """(team, position, e_team, e_position, n): how often they meet in pairs of equal names with a birth date in common."""
+    c = F.col
+    kinds = lambda df, n: df.where((c("last") != "") & (F.size("dates") > 0)).groupBy("first", "last", "dates", "team", "position").agg(F.count(F.lit(1)).alias(n))
+    l = kinds(listings, "n_l").withColumn("date", F.explode("dates"))
+    e = kinds(entities, "n_e").select("first", "last", "n_e", F.explode("dates").alias("date"), *[c(k).alias(f"e_{k}") for k in ("dates", "team", "position")])
+    once = l.join(e, ["first", "last", "date"]).where(c("date") == F.array_min(F.array_intersect("dates", "e_dates")))
+    return once.groupBy("team", "position", "e_team", "e_position").agg(F.sum(c("n_l") * c("n_e")).alias("n"))
+
+
 def _dialect(pairs: DataFrame, source: str, entity: str, name: str) -> DataFrame:
     """How listings write an attribute: the likelihood ratio of (written, meant), from pairs whose identity is plain."""
-    seen = pairs.where(F.col(source).isNotNull() & F.col(entity).isNotNull()).groupBy(F.col(source).alias(f"{name}_w"), F.col(entity).alias(f"{name}_m")).agg(F.count(F.lit(1)).alias("n"))
+    seen = pairs.where(F.col(source).isNotNull() & F.col(entity).isNotNull()).groupBy(F.col(source).alias(f"{name}_w"), F.col(entity).alias(f"{name}_m")).agg(F.sum("n").alias("n"))
     written = seen.groupBy(f"{name}_w").agg(F.sum("n").alias("nw"))
     meant = seen.groupBy(f"{name}_m").agg(F.sum("n").alias("nm"))
     joined = seen.join(written, f"{name}_w").join(meant, f"{name}_m").crossJoin(F.broadcast(seen.agg(F.sum("n").alias("nn"))))
@@ -160,19 +216,8 @@ def _dialect(pairs: DataFrame, source: str, entity: str, name: str) -> DataFrame
     return joined.select(f"{name}_w", f"{name}_m", ratio.alias(f"{name}_llr"))
 
 
-def evidence(listings: DataFrame, entities: DataFrame) -> DataFrame:
-    """(listing_id, source_id, player_id, psi, faint): log odds of each candidate pair before any competition.
-
-    Candidates below FAINT (odds of 1 to 400, so a marginal of that at most) are not kept one by one; ``faint`` is the sum
-    of their odds, which stays in the listing's balance.
-    """
-    population = F.broadcast(entities.agg(F.countDistinct("player_id").cast("double").alias("population")))
-    lasts = entities.groupBy("last").agg(F.countDistinct("player_id").alias("n_last"))
-    firsts = entities.groupBy("first").agg(F.countDistinct("player_id").alias("n_first"))
-    e = entities.join(lasts, "last", "left").join(firsts, "first", "left").drop("keys")
-    l = listings.drop("keys")
-    e = e.select("record_id", "player_id", "n_last", "n_first", *[F.col(c).alias(f"e_{c}") for c in ("first", "last", "main", "dates", "college", "position", "team", "jersey", "rookie")])
-    pairs = candidates(listings, entities).join(l, "listing_id").join(e, "record_id").crossJoin(population)
+def _scored(pairs: DataFrame, teams: DataFrame, positions: DataFrame) -> DataFrame:
+    """(listing_id, source_id, player_id, sole, psi) of pairs with the attributes of both sides."""
     c = F.col
     same_last = (c("last") == c("e_last")) & (c("last") != "")
     part_last = (c("main") == c("e_main")) & (c("main") != "") | (c("main") == c("e_last")) & (c("main") != "") | (c("last") == c("e_main")) & (c("last") != "")
@@ -199,18 +244,41 @@ def evidence(listings: DataFrame, entities: DataFrame) -> DataFrame:
     jersey = F.when(c("jersey").isNull() | c("e_jersey").isNull(), 0.0).when(c("jersey") == c("e_jersey"), F.log(F.lit(0.8 / 0.0105))).otherwise(F.log(F.lit(0.2)))
     gap = F.abs(c("rookie") - c("e_rookie"))
     rookie = F.when(gap.isNull(), 0.0).when(gap == 0, F.log(F.lit(0.85 / 0.06))).when(gap == 1, F.log(F.lit(0.1 / 0.12))).otherwise(F.log(F.lit(0.06)))
-    scored = pairs.withColumn("base", last + first + dates + college + jersey + rookie).withColumn("plain", same_last & (c("first") == c("e_first")) & F.arrays_overlap("dates", "e_dates"))
-    scored = stage(scored.select("listing_id", "source_id", "player_id", "position", "team", "e_position", "e_team", "base", "plain", "population"), "match-pairs")
-    clear = scored.where("plain")
-    teams, positions = _dialect(clear, "team", "e_team", "team"), _dialect(clear, "position", "e_position", "position")
-    told = scored.join(teams, (c("team") == c("team_w")) & (c("e_team") == c("team_m")), "left").join(positions, (c("position") == c("position_w")) & (c("e_position") == c("position_m")), "left")
+    base = last + first + dates + college + jersey + rookie
+    scored = pairs.select("listing_id", "source_id", "player_id", "sole", "position", "team", "e_position", "e_team", "population", base.alias("base"))
+    told = scored.join(F.broadcast(teams), (c("team") == c("team_w")) & (c("e_team") == c("team_m")), "left").join(F.broadcast(positions), (c("position") == c("position_w")) & (c("e_position") == c("position_m")), "left")
     team = F.when(c("team").isNull() | c("e_team").isNull(), 0.0).otherwise(F.coalesce(F.greatest(F.lit(-1.2), F.least(F.lit(3.2), c("team_llr"))), F.lit(-1.2)))
     position = F.when(c("position").isNull() | c("e_position").isNull(), 0.0).otherwise(F.coalesce(F.greatest(F.lit(-2.5), F.least(F.lit(2.5), c("position_llr"))), F.lit(-2.5)))
     psi = c("base") + team + position + F.log(F.lit(LISTED) / (c("population") * (1 - LISTED)))
-    # a player can have several records; the best one speaks
-    best = told.groupBy("listing_id", "source_id", "player_id").agg(F.max(F.least(psi, F.lit(TOP))).alias("psi"))
-    faint = F.coalesce(F.sum(F.when(F.col("psi") <= FAINT, F.exp("psi"))).over(Window.partitionBy("listing_id")), F.lit(0.0))
-    return best.withColumn("faint", faint).where(F.col("psi") > FAINT)
+    return told.select("listing_id", "source_id", "player_id", "sole", F.least(psi, F.lit(TOP)).alias("psi"))
+
+
+def evidence(listings: DataFrame, entities: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
+    """(listing_id, source_id, player_id, psi, faint): log odds of each candidate pair before any competition.
+
+    Candidates are all pairs that share a blocking key; ``hot_block`` says how they are found, not which. Those below FAINT
+    (odds of 1 to 400, so a marginal of that at most) are not kept one by one; ``faint`` is the sum of their odds, which
+    stays in the listing's balance.
+    """
+    c = F.col
+    population = F.broadcast(entities.agg(F.countDistinct("player_id").cast("double").alias("population")))
+    lasts = entities.groupBy("last").agg(F.countDistinct("player_id").alias("n_last"))
+    firsts = entities.groupBy("first").agg(F.countDistinct("player_id").alias("n_first"))
+    records = entities.groupBy("player_id").agg((F.count(F.lit(1)) == 1).alias("sole"))
+    e = entities.join(lasts, "last", "left").join(firsts, "first", "left").join(records, "player_id", "left").crossJoin(population)
+    e = e.select("record_id", "player_id", "n_last", "n_first", "population", F.coalesce("sole", F.lit(False)).alias("sole"), *[c(k).alias(f"e_{k}") for k in ("first", "last", "main", "dates", "college", "position", "team", "jersey", "rookie")])
+    l = listings.drop("keys")
+    clear = stage(_plain_pairs(listings, entities), "match-plain")
+    dialects = _dialect(clear, "team", "e_team", "team"), _dialect(clear, "position", "e_position", "position")
+    hot = _hot_keys(listings, entities, hot_block)
+    rows = _scored(_narrow(listings, entities, hot).join(l, "listing_id").join(e, "record_id"), *dialects)
+    if hot is not None:
+        rows = rows.unionByName(_scored(_rest(listings, entities, l, e, hot), *dialects))
+    # a player can have several records; the best one speaks. The faint ones of players with one record are summed at once
+    weak = c("sole") & (c("psi") <= FAINT)
+    best = rows.groupBy("listing_id", "source_id", weak.alias("weak"), F.when(~weak, c("player_id")).alias("player_id")).agg(F.max("psi").alias("psi"), F.sum(F.exp("psi")).alias("odds"))
+    faint = F.coalesce(F.sum(F.when(c("weak"), c("odds")).when(c("psi") <= FAINT, F.exp("psi"))).over(Window.partitionBy("listing_id")), F.lit(0.0))
+    return best.withColumn("faint", faint).where(~c("weak") & (c("psi") > FAINT)).select("listing_id", "source_id", "player_id", "psi", "faint")
 
 
 def propagate(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -112,3 +112,33 @@ def test_hot_blocks_are_split_by_one_more_attribute(spark):
     few = m.prepared(spark.createDataFrame(bare, f"listing_id long, source_id string, {ATTR}"), {"listing_id": c("listing_id"), "source_id": c("source_id")}, columns)
     got = {r["record_id"] for r in m.candidates(few, es, 5).collect()}
     assert 7 in got and len(got) < 20
+
+
+def crowd(n=300):
+    """People of one last name and two first letters, too many for one block, among others; odd ones are recorded twice."""
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("abcdefghiklmnoprstuvwz") for _ in range(k))
+    smiths = [(i, f"p{i}", f"Jo{word(7)} Smithson", "QB", "AAA", f"19{70 + i % 30}-{1 + i % 12:02d}-{1 + i % 28:02d}", f"C{i % 50} Tech", i % 99, 2000 + i % 20, "") for i in range(n)]
+    others = [(n + i, f"p{n + i}", f"{word(7)} O{word(9)}", "RB", "BBB", f"19{70 + i % 30}-{1 + i % 12:02d}-{1 + i % 28:02d}", f"C{i % 50} Tech", i % 99, 2000 + i % 20, "") for i in range(2 * n)]
+    return smiths + others + [(3 * n + i, f"p{i}", *smiths[i][2:4], "CCC", *smiths[i][5:]) for i in range(1, n, 2)]
+
+
+def test_pairs_of_hot_blocks_that_agree_in_nothing_else_are_matched(spark):
+    ps = crowd()
+    ls = [(i, "s", ps[i][2], None, None, None, None, None, None, "") for i in range(12)]
+    got = run(spark, ls, ps)
+    assert {i: got[i]["player_id"] for i in range(12)} == {i: f"p{i}" for i in range(12)}
+
+
+@pytest.mark.parametrize("cell", [1000, 7])
+def test_evidence_is_the_same_however_small_the_blocks(spark, monkeypatch, cell):
+    monkeypatch.setattr(m, "CELL", cell)
+    ps = crowd(60)
+    ls = [listing(i, f"s{i % 2}", ps[i], **[{}, {"birth_date": None, "college": None}, {"jersey": None, "rookie": None}, {"name": ps[i][2][:-1]}, {"name": "J. Smithson", "birth_date": "03/04/1975"}][i % 5]) for i in range(90)]
+    columns = {k: c(k) for k in ("name", "position", "team", "birth_date", "college", "jersey", "rookie")}
+    ls = m.prepared(spark.createDataFrame(ls, f"listing_id long, source_id string, {ATTR}"), {"listing_id": c("listing_id"), "source_id": c("source_id")}, columns)
+    es = m.prepared(spark.createDataFrame(ps, f"record_id long, player_id string, {ATTR}"), {"record_id": c("record_id"), "player_id": c("player_id")}, columns)
+    whole, split = ({(r["listing_id"], r["player_id"]): (r["psi"], r["faint"]) for r in m.evidence(ls, es, bound).collect()} for bound in (10_000, 8))
+    assert m.candidates(ls, es, 8).count() < m.candidates(ls, es, 10_000).count()
+    assert any(faint > 0 for _, faint in whole.values()) and whole.keys() == split.keys()
+    assert all(split[k] == pytest.approx(v) for k, v in whole.items())
